@@ -31,18 +31,19 @@ def newest(df: DataFrame, n: int, times: Sequence[str], tie: Sequence[str] = ())
 
 
 def top_per_key(
-    df: DataFrame, key: str, order: Sequence[Column], n: int, position: str = "position", salts: int = 32
+    df: DataFrame, key: str, order: Sequence[Column], n: int, position: str = "position", buckets: int = 32
 ) -> DataFrame:
     """The first `n` rows of each key in the given order, numbered from 1 in `position`.
 
-    The rows of a key are first cut to `n` in each of `salts` buckets, then to `n` overall. A key that owns a third
-    of the table is so ranked by many tasks, and the last one sees at most `salts * n` of its rows.
+    Each task first keeps `n` rows per key, then each of `buckets` groups of tasks, then the key as a whole. A key
+    that owns a third of the table is so cut down in parallel: the last step sees at most `buckets * n` of its rows,
+    and no task emits more than `n`. (Buckets by a hash of the row would not do: every task would emit `n` rows for
+    each bucket.) Any assignment of rows to buckets gives the same result.
     """
-    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
     per_bucket = Window.partitionBy(key, "_bucket").orderBy(*order)
     per_key = Window.partitionBy(key).orderBy(*order)
     return (
-        df.withColumn("_bucket", bucket)
+        df.withColumn("_bucket", F.spark_partition_id() % buckets)
         .withColumn(position, F.row_number().over(per_bucket))
         .filter(F.col(position) <= n)
         .drop("_bucket")

@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame
 
 from netsentry.operators.detect import all_alerts
 from netsentry.operators.rollup import rollup
-from netsentry.plans.store import materialize, new_version, write_views
-from netsentry.plans.views import all_views
+from netsentry.plans.store import materialize, new_version, publish, read_view, write_view
+from netsentry.plans.views import all_views, high_risk_ips
 
 
 def refresh_views(logs: DataFrame, path: str) -> str:
     """Recomputes all views from normalized logs and publishes them as one version.
 
     Logs are scanned twice (signatures; window and volume sums). The alerts and their rollup are stored tables of
-    the same version, and the ten views read those.
+    the same version, and the views read those; high_risk_ips reads the stored ip_reputation.
     """
+    spark = logs.sparkSession
     version = new_version()
     alerts = materialize(all_alerts(logs), "alerts", f"{path}/alerts/version={version}")
     rolled = materialize(rollup(alerts), "rollup", f"{path}/rollup/version={version}")
-    return write_views(all_views(alerts, rolled), path, version)
+    views = all_views(alerts, rolled)
+    del views["high_risk_ips"]
+    for name, view in views.items():
+        write_view(name, view, path, version)
+    reputation = read_view(spark, path, "ip_reputation", version).drop("row_key")
+    write_view("high_risk_ips", high_risk_ips(reputation), path, version)
+    publish(spark, path, version)
+    return version
