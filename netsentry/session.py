@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Plans are built from many small column expressions; recording the caller of each one costs more than they do.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 # Large window state lives off heap and is checkpointed as a change log.

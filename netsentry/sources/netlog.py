@@ -26,8 +26,9 @@ ATTACK_PATHS = (
 )
 
 
-def _pick(words, index: str):
-    return F.get(F.array(*[F.lit(word) for word in words]), F.expr(f"cast({index} AS int)"))
+def _pick(words: tuple[str, ...], index: str) -> str:
+    quoted = ", ".join(f"'{word}'" for word in words)
+    return f"get(array({quoted}), cast({index} AS int))"
 
 
 def netlog(events: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def netlog(events: DataFrame) -> DataFrame:
                     ELSE concat('10.0.', (event_id * 7 + user_id) % 4, '.', (event_id div 10) % 251) END"""
         ).alias("source_ip"),
         F.expr("concat('192.168.1.', (event_id * 7 + user_id) % 13)").alias("dest_ip"),
-        _pick(("HTTP", "TCP", "SSH"), "(event_id % 4) % 3").alias("protocol"),
+        F.expr(_pick(("HTTP", "TCP", "SSH"), "(event_id % 4) % 3")).alias("protocol"),
         F.expr(
             """CASE WHEN event_type = 'error' OR (event_type = 'click' AND user_id % 4 = 0)
                     THEN 'BLOCKED' ELSE 'Allowed' END"""
@@ -54,12 +55,13 @@ def netlog(events: DataFrame) -> DataFrame:
             """CASE event_type WHEN 'error' THEN 'Malicious' WHEN 'click' THEN 'suspicious'
                                WHEN 'purchase' THEN 'Suspicious' ELSE 'clean' END"""
         ).alias("threat_label"),
-        _pick(("firewall", "ids", "waf", "application"), "event_id % 4").alias("log_type"),
+        F.expr(_pick(("firewall", "ids", "waf", "application"), "event_id % 4")).alias("log_type"),
         F.expr("cast(floor(value * 1500) AS int)").alias("bytes_transferred"),
-        F.when(F.expr("event_id % 24 < 14"), F.lit("Mozilla/5.0"))
-        .otherwise(_pick(AGENTS, "event_id % 24 - 14"))
-        .alias("user_agent"),
-        F.when(F.expr(f"{seed} < 36"), _pick(CLEAN_PATHS, f"({seed}) % 6"))
-        .otherwise(_pick(ATTACK_PATHS, f"{seed} - 36"))
-        .alias("request_path"),
+        F.expr(
+            f"CASE WHEN event_id % 24 < 14 THEN 'Mozilla/5.0' ELSE {_pick(AGENTS, 'event_id % 24 - 14')} END"
+        ).alias("user_agent"),
+        F.expr(
+            f"""CASE WHEN {seed} < 36 THEN {_pick(CLEAN_PATHS, f'({seed}) % 6')}
+                     ELSE {_pick(ATTACK_PATHS, f'{seed} - 36')} END"""
+        ).alias("request_path"),
     )
