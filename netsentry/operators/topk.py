@@ -49,4 +49,5 @@ def top_per_key(
         .drop("_bucket")
         .withColumn(position, F.row_number().over(per_key))
         .filter(F.col(position) <= n)
+        .withColumn(position, F.col(position).cast("long"))
     )

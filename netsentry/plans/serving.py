@@ -104,8 +104,12 @@ def live_feed_page(
     """
     rows = of_day(live, day).orderBy(*newest_first()).limit(loaded)
     # At most `loaded` rows are left, so one task may number them.
-    numbered = rows.withColumn("position", F.row_number().over(Window.orderBy(*newest_first()))).withColumn(
-        "pages", F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy()) / page_size)).cast("long")
+    pages = F.ceil(F.count("*").over(Window.partitionBy()) / page_size)
+    numbered = rows.withColumns(
+        {
+            "position": F.row_number().over(Window.orderBy(*newest_first())).cast("long"),
+            "pages": F.greatest(F.lit(1), pages).cast("long"),
+        }
     )
     shown = numbered.withColumn("page", F.least(F.greatest(F.lit(page), F.lit(1)), F.col("pages")).cast("long"))
     on_page = F.ceil(F.col("position") / page_size) == F.col("page")
