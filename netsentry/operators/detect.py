@@ -61,56 +61,97 @@ def signature(logs: DataFrame) -> DataFrame:
     )
 
 
-def _pane(time: Column, slide: int) -> Column:
-    seconds = F.unix_seconds(time)
-    return seconds - F.pmod(seconds, F.lit(slide))
-
-
-def _windows_of(pane: Column, size: int, slide: int) -> Column:
-    """Starts of the sliding windows that contain a pane, as an array."""
-    return F.sequence(pane - (size - slide), pane, F.lit(slide).cast("long"))
-
-
-def _check_panes(size: int, slide: int) -> None:
-    if slide <= 0 or size % slide:
-        raise ValueError(f"the slide ({slide} s) must divide the window ({size} s)")
+# The panes of a source are brought together per stretch of this many windows, see `_full_windows`.
+STRETCH_WINDOWS = 10
 
 
-def _activity_alert(df: DataFrame, is_volume: Column) -> DataFrame:
+def _activity_alert(df: DataFrame, alert_type: str, path: str, threat_label: str, action: str) -> DataFrame:
     return _shaped(
         df,
         BATCH_ALERT_SCHEMA,
         src_ip=F.col("source_ip"),
         dest_ip=F.lit(NO_VALUE),
         protocol=F.col("protocol"),
-        path=F.when(is_volume, VOLUME_PATH).otherwise(REPEATED_BLOCKED_PATH),
-        alert_type=F.when(is_volume, VOLUME).otherwise(REPEATED_BLOCKED),
+        path=F.lit(path),
+        alert_type=F.lit(alert_type),
         event_time=F.col("event_time"),
         archived_at=F.col("archived_at"),
         bytes_transferred=F.col("bytes"),
-        threat_label=F.when(is_volume, "malicious").otherwise("suspicious"),
-        action=F.when(is_volume, "allowed").otherwise("blocked"),
+        threat_label=F.lit(threat_label),
+        action=F.lit(action),
     )
 
 
-def _totals() -> list[Column]:
+def _event_totals() -> list[Column]:
     return [
-        F.sum("events").alias("events"),
-        F.sum("bytes").alias("bytes"),
+        F.count("*").alias("events"),
+        F.sum("bytes_transferred").alias("bytes"),
         F.max("event_time").alias("event_time"),
         F.max("archived_at").alias("archived_at"),
     ]
 
 
-def _event_totals() -> list[Column]:
+def _totals() -> list[Column]:
     return [
-        F.count("*").alias("events"),
-        F.sum("bytes_transferred").alias("bytes"),
+        F.sum("events").alias("events"),
+        F.sum("bytes").alias("bytes"),
         F.max("event_time").alias("event_time"),
         F.max("archived_at").alias("archived_at"),
     ]
 
 
+def _panes(logs: DataFrame, time: Column, slide: int) -> DataFrame:
+    """Events summed per source, protocol and pane, a pane being as long as the slide; null times form a pane too."""
+    seconds = F.unix_seconds(time)
+    return (
+        logs.withColumn("pane", seconds - F.pmod(seconds, F.lit(slide)))
+        .groupBy("source_ip", "protocol", "pane")
+        .agg(*_event_totals())
+    )
+
+
+def _full_windows(panes: DataFrame, size: int, slide: int, threshold: int) -> DataFrame:
+    """Sliding windows with at least `threshold` events, summed from panes.
+
+    A pane counts towards every window that contains it. Instead of shuffling a copy of it per window, time is cut
+    into stretches of ten windows, a window belonging to the stretch it starts in: only a pane near the start of a
+    stretch is needed in two of them. Panes are shuffled by stretch, and the copies per window are made and summed
+    where they land. A stretch of one source holds few panes, however many events they stand for.
+    """
+    reach = F.lit(size - slide)
+    length = size * STRETCH_WINDOWS
+
+    def stretch_of(second: Column) -> Column:
+        return second - F.pmod(second, F.lit(length))
+
+    in_stretches = panes.withColumn(
+        "stretch",
+        F.explode_outer(F.array_distinct(F.array(stretch_of(F.col("pane") - reach), stretch_of(F.col("pane"))))),
+    )
+    first = F.greatest(F.col("pane") - reach, F.col("stretch"))
+    last = F.least(F.col("pane"), F.col("stretch") + F.lit(length - slide))
+    return (
+        in_stretches.repartition("source_ip", "protocol", "stretch")
+        .withColumn("window_start", F.explode(F.sequence(first, last, F.lit(slide).cast("long"))))
+        .groupBy("source_ip", "protocol", "stretch", "window_start")
+        .agg(*_totals())
+        .filter(F.col("events") >= threshold)
+    )
+
+
+def _blocked_alert(windows: DataFrame) -> DataFrame:
+    return _activity_alert(windows, REPEATED_BLOCKED, REPEATED_BLOCKED_PATH, "suspicious", "blocked")
+
+
+def _volume_alert(totals: DataFrame) -> DataFrame:
+    return _activity_alert(totals, VOLUME, VOLUME_PATH, "malicious", "allowed")
+
+
+def _check_panes(size: int, slide: int) -> None:
+    if slide <= 0 or size % slide:
+        raise ValueError(f"the slide ({slide} s) must divide the window ({size} s)")
+
+
 def repeated_blocked(
     logs: DataFrame,
     time_col: str = "archived_at",
@@ -120,30 +161,19 @@ def repeated_blocked(
 ) -> DataFrame:
     """Blocked events per source and protocol in sliding windows; one alert for each window that is full enough.
 
-    Events are first summed into panes as long as the slide, and only the panes are copied into the windows that
-    contain them. Count, sum and maximum combine exactly, so this equals windowing every event. A source with a
-    third of the traffic becomes a few partial rows per task before the shuffle.
+    Events are first summed into panes as long as the slide. Count, sum and maximum combine exactly, so this equals
+    windowing every event. A source with a third of the traffic becomes a few partial rows per task before the
+    shuffle.
     """
     _check_panes(size, slide)
-    panes = (
-        logs.filter((F.col("action") == "blocked") & F.col(time_col).isNotNull())
-        .withColumn("pane", _pane(F.col(time_col), slide))
-        .groupBy("source_ip", "protocol", "pane")
-        .agg(*_event_totals())
-    )
-    windows = (
-        panes.withColumn("window_start", F.explode(_windows_of(F.col("pane"), size, slide)))
-        .groupBy("source_ip", "protocol", "window_start")
-        .agg(*_totals())
-        .filter(F.col("events") >= threshold)
-    )
-    return _activity_alert(windows, F.lit(False))
+    blocked = logs.filter((F.col("action") == "blocked") & F.col(time_col).isNotNull())
+    return _blocked_alert(_full_windows(_panes(blocked, F.col(time_col), slide), size, slide, threshold))
 
 
 def volume_total(logs: DataFrame, threshold: int = VOLUME_MIN_BYTES) -> DataFrame:
     """Bytes per source and protocol over all given logs; an alert where the sum passes the threshold."""
-    totals = logs.groupBy("source_ip", "protocol").agg(*_event_totals()).filter(F.col("bytes") > threshold)
-    return _activity_alert(totals, F.lit(True))
+    totals = logs.groupBy("source_ip", "protocol").agg(*_event_totals())
+    return _volume_alert(totals.filter(F.col("bytes") > threshold))
 
 
 def activity(
@@ -157,28 +187,16 @@ def activity(
     """`repeated_blocked` and `volume_total` together from one scan of the logs.
 
     Blocked events are summed per pane and everything else under a null pane, so unblocked traffic shrinks to one
-    row per source and protocol before the first shuffle. A pane then counts towards its windows and, under a
-    null window, towards the grand total.
+    row per source and protocol before the first shuffle. Both detectors go on from these sums: they ask for the
+    same columns and filter nothing before, so Spark shuffles the panes once and reads that shuffle twice.
     """
     _check_panes(size, slide)
     blocked_at = F.when(F.col("action") == "blocked", F.col(time_col))
-    panes = (
-        logs.withColumn("pane", _pane(blocked_at, slide))
-        .groupBy("source_ip", "protocol", "pane")
-        .agg(*_event_totals())
-    )
-    total = F.array(F.lit(None).cast("long"))
-    memberships = F.when(F.col("pane").isNull(), total).otherwise(
-        F.concat(total, _windows_of(F.col("pane"), size, slide))
-    )
-    is_volume = F.col("window_start").isNull()
-    sums = (
-        panes.withColumn("window_start", F.explode(memberships))
-        .groupBy("source_ip", "protocol", "window_start")
-        .agg(*_totals())
-        .filter(F.when(is_volume, F.col("bytes") > min_bytes).otherwise(F.col("events") >= min_events))
-    )
-    return _activity_alert(sums, is_volume)
+    panes = _panes(logs, blocked_at, slide)
+    windows = _full_windows(panes, size, slide, min_events).filter(F.col("window_start").isNotNull())
+    totals = panes.groupBy("source_ip", "protocol").agg(*_totals())
+    volumes = totals.filter((F.col("bytes") > min_bytes) & (F.col("events") > 0))
+    return _blocked_alert(windows).unionByName(_volume_alert(volumes))
 
 
 def all_alerts(logs: DataFrame) -> DataFrame:
