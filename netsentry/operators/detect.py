@@ -6,7 +6,7 @@ Every detector is a pure DataFrame expression; those marked live also run on str
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsentry.functions.match import signature_type
@@ -116,7 +116,8 @@ def _full_windows(panes: DataFrame, size: int, slide: int, threshold: int) -> Da
     A pane counts towards every window that contains it. Instead of shuffling a copy of it per window, time is cut
     into stretches of ten windows, a window belonging to the stretch it starts in: only a pane near the start of a
     stretch is needed in two of them. Panes are shuffled by stretch, and the copies per window are made and summed
-    where they land. A stretch of one source holds few panes, however many events they stand for.
+    where they land. A stretch of one source holds few panes, however many events they stand for; one with too few
+    events in all has no full window and is dropped before the copies are made.
     """
     reach = F.lit(size - slide)
     length = size * STRETCH_WINDOWS
@@ -130,8 +131,11 @@ def _full_windows(panes: DataFrame, size: int, slide: int, threshold: int) -> Da
     )
     first = F.greatest(F.col("pane") - reach, F.col("stretch"))
     last = F.least(F.col("pane"), F.col("stretch") + F.lit(length - slide))
+    together = Window.partitionBy("source_ip", "protocol", "stretch")
     return (
         in_stretches.repartition("source_ip", "protocol", "stretch")
+        .withColumn("in_stretch", F.sum("events").over(together))
+        .filter(F.col("in_stretch") >= threshold)
         .withColumn("window_start", F.explode(F.sequence(first, last, F.lit(slide).cast("long"))))
         .groupBy("source_ip", "protocol", "stretch", "window_start")
         .agg(*_totals())

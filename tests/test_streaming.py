@@ -4,9 +4,11 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import at, log, logs, rows_of
+from helpers import at, log, logs, plan, rows_of
 from netsentry.operators import detect
+from netsentry.plans import serving
 from netsentry.schema import LOG_SCHEMA
+from netsentry.session import STREAM_SETTINGS
 from netsentry.sources import archive
 from netsentry.sources.logs import encode_json, normalize, stream_messages
 from netsentry.streaming import jobs
@@ -129,3 +131,34 @@ def test_streams_have_the_live_schema(spark, tmp_path, name):
     assert stream.isStreaming and stream.columns == [
         "src_ip", "dest_ip", "protocol", "user_agent", "path", "alert_type", "count_value", "event_time",
     ]
+
+
+def test_state_in_rocksdb_gives_the_same_alerts(spark, tmp_path):
+    source = str(tmp_path / "source")
+    publish(spark, traffic(), source)
+    results = []
+    for name, settings in (("plain", {}), ("rocks", STREAM_SETTINGS)):
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        try:
+            stream = jobs.alert_streams(open_stream(spark, source), "event_time")["repeated_blocked"]
+            finish([jobs.start_alert("repeated_blocked", stream, str(tmp_path / name), str(tmp_path / f"state-{name}"), ONCE)])
+        finally:
+            for key in settings:
+                spark.conf.unset(key)
+        got = jobs.read_detector(spark, str(tmp_path / name), "repeated_blocked")
+        results.append(rows_of(got.select("source_ip", "count_value", "event_time", "alert_id")))
+    assert results[0] == results[1] != []
+
+
+def test_reads_of_a_day_prune_the_stored_table(spark, tmp_path):
+    source, live, state = (str(tmp_path / n) for n in ("source", "live", "state"))
+    publish(spark, [log(user_agent="nmap")], source)
+    stream = jobs.alert_streams(open_stream(spark, source))["signature"]
+    finish([jobs.start_alert("signature", stream, live, state, ONCE)])
+    table = jobs.read_detector(spark, live, "signature")
+    day = table.first()["alert_date"]
+    text = plan(serving.live_feed(table, day, 100, "10.9.0.1"))
+    assert "alert_date" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert serving.live_feed(table, day, 100).count() == 1
+    assert serving.live_feed(table, day - timedelta(days=1), 100).isEmpty()
