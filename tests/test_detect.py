@@ -67,7 +67,7 @@ MEASURES = ("src_ip", "protocol", "event_time", "archived_at", "bytes_transferre
 def test_repeated_blocked_equals_brute_force(spark):
     df = random_logs(spark)
     # Fourteen hundred seconds touch four stretches of ten windows.
-    for threshold in (5, 12):
+    for threshold in (3, 7):
         got = rows_of(detect.repeated_blocked(df, threshold=threshold).select(*MEASURES))
         assert got == brute_windows(df, threshold) != []
 
@@ -75,8 +75,8 @@ def test_repeated_blocked_equals_brute_force(spark):
 def test_activity_is_both_detectors_in_one_scan(spark, tmp_path):
     random_logs(spark).write.parquet(str(tmp_path / "logs"))
     df = spark.read.parquet(str(tmp_path / "logs"))
-    both = detect.activity(df, min_events=12, min_bytes=20 * MIB)
-    apart = detect.repeated_blocked(df, threshold=12).unionByName(detect.volume_total(df, 20 * MIB))
+    both = detect.activity(df, min_events=5, min_bytes=20 * MIB)
+    apart = detect.repeated_blocked(df, threshold=5).unionByName(detect.volume_total(df, 20 * MIB))
     assert rows_of(both) == rows_of(apart)
     volumes = both.filter(F.col("alert_type") == "DATA_EXFILTRATION")
     assert rows_of(volumes.select(*MEASURES)) == brute_volumes(df, 20 * MIB) != []
