@@ -1,12 +1,13 @@
 import pytest
 
 import __spark_entry__ as entry_point
+from netsentry.plans.catalog import named_queries
+from oracle import SQL
 from compare import database, difference
 from helpers import plan
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = named_queries()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,8 @@ def con():
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(SQL)
+    assert set(SQL) <= set(entry_point.oracle_sql()) and set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry(spark):
