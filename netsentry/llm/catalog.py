@@ -11,6 +11,9 @@ from netsentry.llm.bpe import encode_documents
 from netsentry.llm.common import table
 from netsentry.llm.exact_dedup import exact_dedup
 from netsentry.llm.mixing import mix_counts
+from netsentry.llm.pii import find_pii
+from netsentry.llm.quality import quality
+from netsentry.llm.simhash import simhash_classes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +25,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return quality(table(spark, folder, "documents")).select(*columns)
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_counts(table(spark, folder, "documents"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(table(spark, folder, "documents"))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), full=False)
 
@@ -37,10 +49,18 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_simhash": op9_simhash,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
