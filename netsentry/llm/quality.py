@@ -42,6 +42,7 @@ def rules() -> tuple[Rule, ...]:
     mean = per_word("word_chars")
     return (
         Rule("symbols", per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
+        Rule("marks", per_word("n_marks") > 0.2, per_word("n_marks") < 0.02),
         Rule("repetition", per_word("n_repeat_words") > 0.3, per_word("n_repeat_words") < 0.05),
         Rule("stutter", per_word("n_stutters") > 0.2, per_word("n_stutters") < 0.05),
         Rule("lines", F.col("n_dup_lines") >= F.greatest(F.lit(2.0), 0.3 * F.col("n_lines")), F.col("n_dup_lines") <= 0.05 * F.col("n_lines")),
@@ -74,6 +75,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         n_words.cast("bigint").alias("n_words"),
         without(F.col("text"), SYMBOLS).alias("n_symbols"),
         without(F.col("text"), "!").alias("n_shouts"),
+        F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[#*$%&|<>]+(?![^\x20\x09-\x0D])")).alias("n_marks"),
         F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("n_letters"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).alias("n_capitals"),
         F.size("lines").alias("n_lines"),
