@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsentry.llm import language, toxicity
 from netsentry.llm.bpe import encode_documents
 from netsentry.llm.common import table
 from netsentry.llm.exact_dedup import exact_dedup
@@ -49,6 +50,18 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    judged = language.language(docs, language.learn(docs))
+    return judged.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = toxicity.toxicity(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+    return judged.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return simhash_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,6 +73,8 @@ QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language": op6_language,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
 }
 
