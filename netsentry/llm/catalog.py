@@ -15,6 +15,7 @@ from netsentry.llm.mixing import mix_counts
 from netsentry.llm.pii import find_pii
 from netsentry.llm.quality import quality
 from netsentry.llm.simhash import simhash_classes
+from netsentry.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +68,10 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), full=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -147,7 +147,8 @@ def mix_spans(
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))).alias("block"),
     )
     same = F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard")) & (F.col("block") == F.col("__block"))
-    spans = pieces.join(each.filter("times > 0"), same).select(
+    # The block table grows with the input, and its size is underestimated behind the generator: never broadcast.
+    spans = pieces.join(each.filter("times > 0").hint("merge"), same).select(
         "row",
         (F.greatest("start", F.col("block") * block) - F.col("start")).alias("first"),
         (F.least("stop", (F.col("block") + 1) * block) - F.col("start")).alias("last"),
