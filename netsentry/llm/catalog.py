@@ -16,6 +16,7 @@ from netsentry.llm.pii import find_pii
 from netsentry.llm.quality import quality
 from netsentry.llm.simhash import simhash_classes
 from netsentry.llm.suffix_dedup import remove_repeats
+from netsentry.llm.warc import pages_through_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +64,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return pages_through_archives(table(spark, folder, "pages"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return simhash_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -92,4 +98,16 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes,
+                     -- Base 32: five bits at a time, out of the two hex digits they lie in.
+                     array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                         ((CAST('0x' || substr(hex, (5 * i) // 4 + 1, 2) AS INTEGER) >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '')
+                         AS payload_digest,
+                     min(page_id) OVER (PARTITION BY html) AS first
+              FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d""",
 }
