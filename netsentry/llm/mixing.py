@@ -10,13 +10,17 @@ many, and no step needs a source in one task.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netsentry.llm.common import SPACE, stored
+from netsentry.llm.common import SPACE, free_name, stored
 
 BLOCK, SHARD_TOKENS = 64, 1_000_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def word_count(text: Column) -> Column:
@@ -179,3 +183,45 @@ def keyed(sized: DataFrame) -> DataFrame:
     """Adds `row`, a number to join by (store the result before it is read twice), and `key`, a hash of id, source and size,
     by which shards and orders are drawn: it does not depend on how the rows lie in files."""
     return sized.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.xxhash64("doc_id", "source", "size"))
+
+def cut_text(text: str, spans: list[tuple[int, int, int]], number: int) -> str:
+    """What the mix takes of a text in its `number`-th pass over it: runs of words with the white space between them,
+    joined by line feeds. A pass that takes all words takes the text as it is."""
+    runs: list[list[int]] = []
+    for first, last, times in sorted(spans):
+        if times >= number:
+            if runs and runs[-1][1] == first:
+                runs[-1][1] = last
+            else:
+                runs.append([first, last])
+    words = [m.span() for m in WORD.finditer(text)]
+    if runs == [[0, len(words)]]:
+        return text
+    return "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)
+
+
+def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 42) -> DataFrame:
+    """The mix itself: rows of `docs` (`doc_id`, `text`, `source`, others), one for each pass in which the document has
+    taken words, with the text cut to them (and `n_chars` to its length, where there is such a column)."""
+    row = free_name(docs, "row")
+    keyed_docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    sized = keyed_docs.select(
+        F.col(row).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
+        F.xxhash64("doc_id", F.col("source").cast("string"), word_count(F.col("text").cast("string"))).alias("key"),
+    )
+    _, spans = mix_spans(stored(sized, "mix-sizes"), lambda rows: cyclic_weights(rows, weights), share, cap, seed)
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last", "times")).alias("__spans"))
+
+    def cut(text: pa.Array, taken: pa.Array) -> pa.Array:
+        out = []
+        for value, rows in zip(text.to_pylist(), taken.to_pylist()):
+            spans = [(r["first"], r["last"], r["times"]) for r in rows]
+            out.append([cut_text(value, spans, k) for k in range(1, max(s[2] for s in spans) + 1)])
+        return pa.array(out, pa.list_(pa.string()))
+
+    texts = F.arrow_udf(cut, "array<string>")(F.col("text").cast("string"), F.col("__spans"))
+    mixed = keyed_docs.join(spans.withColumnRenamed("row", "__row"), F.col(row) == F.col("__row"))
+    mixed = mixed.withColumn("__texts", texts).withColumn("__text", F.explode("__texts")).withColumn("text", F.col("__text"))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return mixed.select(*docs.columns)
