@@ -33,6 +33,12 @@ def row_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(name).cast("string") for name in columns]), 256)
 
 
+def identity_hash(*columns: str) -> Column:
+    """SHA-256 over the columns, which differs where any of them differs: a null is marked, the separator escaped."""
+    escaped = [F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for name in columns]
+    return F.sha2(F.concat_ws("|", *[F.coalesce(text, F.lit("\\N")) for text in escaped]), 256)
+
+
 def timestamp_or_null(column: Column) -> Column:
     """Timestamp read from text, null where it does not parse, also in ANSI mode."""
     return F.try_to_timestamp(column)

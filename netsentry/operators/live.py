@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsentry.functions.text import row_hash, text_cell
+from netsentry.functions.text import identity_hash, text_cell
 from netsentry.operators import detect
 from netsentry.rules import LIVE_RETENTION_HOURS, VOLUME_MIN_BYTES
 from netsentry.schema import LIVE_TABLE_SCHEMA
@@ -31,7 +31,7 @@ def stored(alerts: DataFrame, inserted_at: Column | None = None) -> DataFrame:
         text_cell(F.col("user_agent")).alias("user_agent"),
     )
     identity = ("source_ip", "dest_ip", "protocol", "user_agent", "request_path", "alert_type", "count_value", "event_time")
-    return rows.withColumn("alert_id", row_hash(*identity)).select(*LIVE_TABLE_SCHEMA.fieldNames())
+    return rows.withColumn("alert_id", identity_hash(*identity)).select(*LIVE_TABLE_SCHEMA.fieldNames())
 
 
 def replay(logs: DataFrame, volume_threshold: int = VOLUME_MIN_BYTES) -> DataFrame:

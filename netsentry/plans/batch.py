@@ -25,6 +25,6 @@ def refresh_views(logs: DataFrame, path: str) -> str:
     for name, view in views.items():
         write_view(name, view, path, version)
     reputation = read_view(spark, path, "ip_reputation", version).drop("row_key")
-    write_view("high_risk_ips", high_risk_ips(reputation), path, version)
+    write_view("high_risk_ips", high_risk_ips(reputation, limit=None), path, version)
     publish(spark, path, version)
     return version

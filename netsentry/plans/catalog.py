@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ from netsentry.functions.score import attack_counts_text, dominant_attack, relat
 from netsentry.functions.text import number_or_zero
 from netsentry.operators import detect, enrich, live
 from netsentry.operators.rollup import rollup
-from netsentry.plans import serving, store, views
+from netsentry.plans import batch, serving, store, views
+from netsentry.schema import LOG_COLUMNS
 from netsentry.session import work_dir
 from netsentry.sources import archive, logs
 from netsentry.sources.netlog import netlog
@@ -24,6 +25,7 @@ from netsentry.streaming import jobs
 # Parameters of the queries.
 DAY = "2024-01-01"  # the day of the live reads
 NOW = "2024-01-02 00:10:00"  # the clock of the retention
+RETAINED_FROM = date(2024, 1, 2)  # first day that the retention leaves
 IP = "185.10.10.5"  # the address of the single-IP reads
 ARCHIVE_FROM, ARCHIVE_TO = datetime(2024, 1, 1, 0), datetime(2024, 1, 1, 1)
 LIVE_VOLUME_BYTES = 400_000  # live byte threshold, low enough for the data at hand
@@ -80,10 +82,10 @@ class Inputs:
     def stored_rollup(self) -> DataFrame:
         return store.materialize(self.rollup(), "rollup")
 
-    def profile(self) -> DataFrame:
-        rolled = self.stored_rollup()
+    def profile(self, ip: str | None = None) -> DataFrame:
+        rolled = self.rollup()
         return serving.ip_profile(
-            views.ip_reputation(rolled), views.global_ip_stats(rolled), serving.live_summary(self.live(), DAY)
+            views.ip_reputation(rolled), views.global_ip_stats(rolled, limit=None), serving.live_summary(self.live(), DAY), ip
         )
 
     def log_stream(self) -> DataFrame:
@@ -102,7 +104,25 @@ def log_to_json_roundtrip(i: Inputs) -> DataFrame:
 
 def replay_slice(i: Inputs) -> DataFrame:
     rows = i.raw_logs().select("event_id", "timestamp", "source_ip", "request_path")
-    return logs.replay_slice(rows, "event_id", offset=logs.REPLAY_FIRST)
+    return logs.replay_slice(rows, "event_id", offset=logs.REPLAY_FIRST, rows=logs.REPLAY_NEXT)
+
+
+def csv_to_alerts(i: Inputs) -> DataFrame:
+    """The log written as CSV with its columns in another order and hostile paths, read back, and its signatures."""
+    path = work_dir(i.spark, "csv")
+    text = F.concat(F.lit('/q?a="x",'), F.col("request_path"), F.lit('\\";b'))
+    raw = i.raw_logs().withColumn("request_path", text)
+    raw.select(*sorted(LOG_COLUMNS, reverse=True)).write.options(header=True, quote='"', escape='"').csv(path)
+    return detect.signature(logs.prepare(logs.read_log_csv(i.spark, path))).select(
+        "src_ip", "dest_ip", "path", "alert_type", "event_time", "bytes_transferred"
+    )
+
+
+def reject_counts(i: Inputs) -> DataFrame:
+    """Messages of the log, every seventh cut off in the middle, and how many of them cannot be read."""
+    keyed = i.raw_logs().select("event_id", F.to_json(F.struct(*LOG_COLUMNS)).alias("value"))
+    cut = F.when(F.expr("event_id % 7 = 0"), F.expr("left(value, 10)")).otherwise(F.col("value"))
+    return logs.rejects(keyed.select(cut.alias("value")))
 
 
 def json_props_parse(i: Inputs) -> DataFrame:
@@ -138,21 +158,84 @@ def live_feed_by_ip(i: Inputs) -> DataFrame:
     return serving.live_feed(i.live(), DAY, serving.LIVE_PER_IP, IP)
 
 
+def _stored_view(i: Inputs, name: str, view: DataFrame) -> DataFrame:
+    """A view as a reader of the store finds it: written as a version, published and read back."""
+    path = work_dir(i.spark, "views")
+    store.write_views({name: view}, path)
+    return store.read_view(i.spark, path, name)
+
+
+def view_scan(i: Inputs) -> DataFrame:
+    """Every stored view, from logs to the read: the number of its rows and of its keys."""
+    path = work_dir(i.spark, "views")
+    batch.refresh_views(i.logs(), path)
+    counts = [
+        store.read_view(i.spark, path, name).agg(F.count("*").alias("rows"), F.count_distinct("row_key").alias("keys"))
+        .select(F.lit(name).alias("view"), "rows", "keys")
+        for name in views.VIEW_KEYS
+    ]
+    result = counts[0]
+    for one in counts[1:]:
+        result = result.unionByName(one)
+    return result
+
+
 def view_point_lookup(i: Inputs) -> DataFrame:
-    keyed = views.with_row_key("ip_reputation", i.reputation())
+    keyed = _stored_view(i, "ip_reputation", i.reputation())
     return store.lookup(keyed, IP).select("row_key", "src_ip", "total_alerts", "risk_score", "risk_level", "last_seen")
 
 
+def view_prefix_scan(i: Inputs) -> DataFrame:
+    keyed = _stored_view(i, "ip_attack_types", views.ip_attack_types(i.rollup()))
+    return store.lookup_prefix(keyed, IP).select("row_key", "src_ip", "alert_type", "alert_count", "last_seen")
+
+
 def ip_history_prefix_scan(i: Inputs) -> DataFrame:
-    history = views.with_row_key("ip_historical_alerts", views.ip_historical_alerts(i.stored_alerts()))
+    history = _stored_view(i, "ip_historical_alerts", views.ip_historical_alerts(i.alerts(), limit=None))
     return serving.ip_history(history, IP).select("row_key", "src_ip", "alert_type", "event_time", "archived_at")
 
 
+def ip_profile_one(i: Inputs) -> DataFrame:
+    """The profile of one IP; its address filters each input before the joins."""
+    return i.profile(IP)
+
+
+def ip_profile_fallback(i: Inputs) -> DataFrame:
+    """Profiles where the reputation is of half of the addresses only, as after a partial refresh; the others take their
+    counts from `global_ip_stats`."""
+    rolled = i.rollup()
+    half = views.ip_reputation(rolled).filter(F.substring_index("src_ip", ".", -1).cast("int") % 2 == 0)
+    stats = views.global_ip_stats(rolled, limit=None)
+    profile = serving.ip_profile(half, stats, serving.live_summary(i.live(), DAY))
+    return profile.select("src_ip", "historical_source", "total_alerts", "risk_score", "sqli_count", "active_alerts", "total_alerts_visible")
+
+
+def ip_one(i: Inputs) -> DataFrame:
+    """Relations, types, history and newest live alerts of one IP: part, position and what stands there."""
+    rolled = i.rollup()
+    parts = {
+        "relations": (serving.ip_relations(views.attacker_victim_stats(rolled, limit=None), ip=IP), "dest_ip"),
+        "types": (serving.ip_top_types(views.ip_attack_types(rolled), ip=IP), "alert_type"),
+        "history": (serving.ip_recent_history(views.ip_historical_alerts(i.alerts(), limit=None), ip=IP), "row_hash"),
+        "live": (serving.live_newest_per_ip(i.live(), DAY, ip=IP), "alert_type"),
+    }
+    result = None
+    for name, (rows, value) in parts.items():
+        rows = rows.select(F.lit(name).alias("part"), "position", F.col(value).alias("value"))
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
 # --- sinks --------------------------------------------------------------------------------------------------------
 
 
+STREAM_SECONDS = 3_600  # a stream over the whole table that takes longer has hung
+
+
 def _await(query) -> None:
-    query.awaitTermination()
+    if not query.awaitTermination(STREAM_SECONDS):
+        query.stop()
+        raise TimeoutError(f"the stream {query.name} has not ended")
     if query.exception() is not None:
         raise query.exception()
 
@@ -186,6 +269,28 @@ def stream_alert_sink(i: Inputs) -> DataFrame:
     return alerts.groupBy("alert_type").agg(F.count("*").alias("alerts"), F.max("event_time").alias("last_event"))
 
 
+def live_compaction_counts(i: Inputs) -> DataFrame:
+    """The live table as three streams write it, compacted and read back."""
+    base = work_dir(i.spark, "live")
+    streams = jobs.alert_streams(i.log_stream(), "event_time", LIVE_VOLUME_BYTES)
+    started = [jobs.start_alert(n, s, f"{base}/live", f"{base}/checkpoint", {"availableNow": True}) for n, s in streams.items()]
+    for query in started:
+        _await(query)
+    jobs.compact_live(i.spark, f"{base}/live", f"{base}/compact")
+    alerts = jobs.read_compacted(i.spark, f"{base}/compact")
+    return alerts.groupBy("alert_type", "source_ip").agg(F.count("*").alias("alerts"), F.max("event_time").alias("last_event"))
+
+
+def expired_partitions(i: Inputs) -> DataFrame:
+    """The live table spread over three days, after the partitions older than the retention have been dropped."""
+    path = work_dir(i.spark, "live-days")
+    spread = i.live().withColumn("alert_date", F.date_add("alert_date", F.length("source_ip") % 3))
+    spread.write.partitionBy("alert_date").parquet(path)
+    store.drop_expired_days(i.spark, path, RETAINED_FROM)
+    kept = jobs.read_compacted(i.spark, path)
+    return kept.groupBy("alert_date").agg(F.count("*").alias("alerts"), F.count_distinct("source_ip").alias("sources"))
+
+
 def alert_null_defaults(i: Inputs) -> DataFrame:
     def gap(column: str, every: int):
         return F.when(F.expr(f"event_id % {every} <> 0"), F.col(column)).alias(column)
@@ -229,8 +334,8 @@ def kpi_total_unique_targets(i: Inputs) -> DataFrame:
 
 
 def view_kpi_row(i: Inputs) -> DataFrame:
-    rolled = i.stored_rollup()
-    targets = views.with_row_key("target_ip_stats", views.target_ip_stats(rolled))
+    rolled = i.rollup()
+    targets = views.with_row_key("target_ip_stats", views.target_ip_stats(rolled, limit=None))
     text = store.export_text(targets.select("row_key", "alert_count", "target_risk_score"))
     return store.with_kpi_row(text, views.total_unique_targets(rolled))
 
@@ -322,8 +427,8 @@ def _live_windows(alerts: DataFrame) -> DataFrame:
 # --- serving ------------------------------------------------------------------------------------------------------
 
 
-def reputation_with_last_live(i: Inputs, newest: int | None = serving.NEWEST_LIVE) -> DataFrame:
-    rows = serving.with_last_live(i.reputation(), i.live(), DAY, newest)
+def reputation_with_last_live(i: Inputs) -> DataFrame:
+    rows = serving.with_last_live(i.reputation(), i.live(), DAY)
     return rows.select("src_ip", "risk_score", "risk_level", "total_alerts", "last_live")
 
 
@@ -362,11 +467,17 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "event_time_fallback": event_time_fallback,
     "live_feed_latest": live_feed_latest,
     "live_feed_by_ip": live_feed_by_ip,
+    "csv_to_alerts": csv_to_alerts,
+    "reject_counts": reject_counts,
+    "view_scan": view_scan,
     "view_point_lookup": view_point_lookup,
+    "view_prefix_scan": view_prefix_scan,
     "ip_history_prefix_scan": ip_history_prefix_scan,
     # sinks
     "stream_archive_counts": stream_archive_counts,
     "stream_alert_sink": stream_alert_sink,
+    "live_compaction_counts": live_compaction_counts,
+    "expired_partitions": expired_partitions,
     "alert_null_defaults": alert_null_defaults,
     "view_export_text": view_export_text,
     "view_row_keys": view_row_keys,
@@ -405,6 +516,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "target_ip_stats": lambda i: views.target_ip_stats(i.rollup()),
     "threat_timeline": lambda i: views.ordered("threat_timeline", views.threat_timeline(i.alerts())),
     "ip_historical_alerts": lambda i: views.ip_historical_alerts(i.stored_alerts()),
+    "ip_historical_newest_500": lambda i: views.ip_historical_alerts(i.stored_alerts(), limit=500),
     "attacker_victim_stats": lambda i: views.attacker_victim_stats(i.rollup()),
     "high_risk_ips": lambda i: views.high_risk_ips(i.reputation()),
     "log_and_alert_counts": lambda i: views.row_counts(logs=i.logs(), alerts=i.alerts()),
@@ -417,8 +529,11 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "live_feed_page": lambda i: serving.live_feed_page(i.live(), DAY, page=3),
     "risk_distribution": lambda i: serving.risk_distribution(i.reputation()),
     "reputation_with_last_live": reputation_with_last_live,
-    "reputation_with_last_live_all": lambda i: reputation_with_last_live(i, newest=None),
+    "reputation_with_last_live_all": reputation_with_last_live,
     "ip_profile": lambda i: i.profile(),
+    "ip_profile_one": ip_profile_one,
+    "ip_profile_fallback": ip_profile_fallback,
+    "ip_one": ip_one,
     "ip_recommendation": lambda i: i.profile().select(
         "src_ip", "risk_score", "active_alerts", "recommended_level", "recommended_action", "recommendation_reason"
     ),
@@ -426,7 +541,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
         "src_ip", "total_alerts_visible", "scan_total_visible", "sqli_total_visible", "xss_total_visible"
     ),
     "ip_signal_matrix": lambda i: serving.signal_matrix(i.profile()),
-    "ip_relations": lambda i: serving.ip_relations(views.attacker_victim_stats(i.rollup())),
+    "ip_relations": lambda i: serving.ip_relations(views.attacker_victim_stats(i.rollup(), limit=None)),
     "ip_relations_all": lambda i: serving.ip_relations(views.attacker_victim_stats(i.rollup(), limit=None)),
     "ip_top_types": lambda i: serving.ip_top_types(views.ip_attack_types(i.rollup())),
     "ip_recent_history": lambda i: serving.ip_recent_history(views.ip_historical_alerts(i.alerts(), limit=None)),

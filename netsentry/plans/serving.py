@@ -1,6 +1,7 @@
 """Serving reads over the live table and the batch views.
 
-Where the question is about one IP, the functions here answer it for all IPs in one frame; filter it by `src_ip`.
+Where the question is about one IP, the functions here answer it for all IPs in one frame, or for one IP if they are given
+it as `ip`: their inputs are then filtered first, before any join or ranking, so that the filter reaches stored tables.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from netsentry.functions.classify import live_family_conditions
 from netsentry.functions.score import recommendation, recommendation_reason, recommended_action, risk_level
 from netsentry.functions.text import number_or_zero, whole_or_zero
-from netsentry.operators.topk import top_per_key
+from netsentry.operators.topk import newest, top_per_key
 from netsentry.plans.views import (
     ATTACKS,
     LABELS,
@@ -26,7 +27,6 @@ from netsentry.plans.views import (
 from netsentry.rules import FEED_DEFAULT, FEED_LIMITS, NO_VALUE, RISK_LEVELS, SIGNALS
 
 # List lengths.
-NEWEST_LIVE = 1000
 LIVE_PER_IP = 200
 SUMMARY_ALERTS = 100
 RELATIONS_PER_IP = 30
@@ -53,18 +53,24 @@ def newest_first() -> list[Column]:
 
 
 def feed_limit(requested: int | str | None) -> int:
-    """The requested page size if it is an allowed one, else the default."""
-    try:
-        size = int(requested)
-    except (TypeError, ValueError):
+    """The requested page size, the default if there is none; ValueError if it is not an allowed one."""
+    if requested is None:
         return FEED_DEFAULT
-    return size if size in FEED_LIMITS else FEED_DEFAULT
+    size = int(requested)
+    if size not in FEED_LIMITS:
+        raise ValueError(f"page size {size}: allowed are {sorted(FEED_LIMITS)}")
+    return size
+
+
+def of_ip(rows: DataFrame, ip: str | None, column: str = "src_ip") -> DataFrame:
+    """The rows of one IP, or all if it is None."""
+    return rows if ip is None else rows.filter(F.col(column) == ip)
 
 
 def of_day(live: DataFrame, day: date | str | None, ip: str | None = None) -> DataFrame:
     """Live alerts of a day (of all days if it is None), of one IP if one is given. Prunes partitions by day."""
     rows = live if day is None else live.filter(F.col("alert_date") == F.lit(str(day)).cast("date"))
-    return rows if ip is None else rows.filter(F.col("source_ip") == ip)
+    return of_ip(rows, ip, "source_ip")
 
 
 def _iso(time: Column) -> Column:
@@ -96,36 +102,38 @@ def live_feed(live: DataFrame, day: date | str | None, limit: int = FEED_DEFAULT
 
 
 def live_feed_page(
-    live: DataFrame, day: date | str | None, page: int, page_size: int = FEED_DEFAULT, loaded: int = NEWEST_LIVE
+    live: DataFrame, day: date | str | None, page: int, page_size: int = FEED_DEFAULT
 ) -> DataFrame:
-    """One page of the newest `loaded` alerts, with its number, the page count and the position of each row.
+    """One page of the alerts of a day, newest first, with its number, the page count and the position of each row.
 
-    A page number out of range gives the nearest page.
+    Pages count from 1; a lower number raises ValueError, one beyond the last page gives no rows.
     """
-    rows = of_day(live, day).orderBy(*newest_first()).limit(loaded)
-    # At most `loaded` rows are left, so one task may number them.
-    pages = F.ceil(F.count("*").over(Window.partitionBy()) / page_size)
-    numbered = rows.withColumns(
+    if page < 1 or page_size < 1:
+        raise ValueError("pages and their size count from 1")
+    rows = of_day(live, day)
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    before = (page - 1) * page_size
+    # At most one page of rows is left, so one task may number them.
+    shown = newest(rows, before + page_size, ("inserted_at",), (), last=("alert_id",)).offset(before).withColumns(
         {
-            "position": F.row_number().over(Window.orderBy(*newest_first())).cast("long"),
-            "pages": F.greatest(F.lit(1), pages).cast("long"),
+            "position": (F.row_number().over(Window.orderBy(*newest_first())) + before).cast("long"),
+            "pages": F.ceil(total / page_size).cast("long"),
+            "page": F.lit(page).cast("long"),
         }
     )
-    shown = numbered.withColumn("page", F.least(F.greatest(F.lit(page), F.lit(1)), F.col("pages")).cast("long"))
-    on_page = F.ceil(F.col("position") / page_size) == F.col("page")
-    return _feed_columns(shown.filter(on_page), "page", "pages", "position")
+    return _feed_columns(shown, "page", "pages", "position")
 
 
 def live_count_by_day(live: DataFrame) -> DataFrame:
     return live.groupBy("alert_date").agg(F.count("*").alias("alerts"))
 
 
-def live_kpis(live: DataFrame, day: date | str | None, loaded: int = NEWEST_LIVE) -> DataFrame:
-    """One row: alerts of the day, and of the newest `loaded` the distinct sources and the newest time."""
+def live_kpis(live: DataFrame, day: date | str | None, loaded: int | None = None) -> DataFrame:
+    """One row: alerts of the day, and of all of them, or of the newest `loaded`, the distinct sources and the newest time."""
     rows = of_day(live, day)
-    newest = rows.orderBy(*newest_first()).limit(loaded)
+    newest_rows = rows if loaded is None else rows.orderBy(*newest_first()).limit(loaded)
     total = rows.agg(F.count("*").alias("live_total"))
-    return newest.agg(
+    return newest_rows.agg(
         F.count("*").alias("loaded"),
         F.count_distinct("source_ip").alias("live_ips"),
         F.coalesce(F.date_format(F.max(F.coalesce("inserted_at", "event_time")), "HH:mm:ss"), F.lit("--:--:--")).alias(
@@ -175,9 +183,11 @@ def live_dimension_counts(live: DataFrame, day: date | str | None) -> DataFrame:
     return cells.groupBy("src_ip", "dimension", value.alias("value")).agg(F.sum("alerts").alias("alerts"))
 
 
-def live_newest_per_ip(live: DataFrame, day: date | str | None, limit: int = SUMMARY_ALERTS) -> DataFrame:
-    """The newest alerts of every IP, with their position."""
-    return _feed_columns(top_per_key(of_day(live, day), "source_ip", newest_first(), limit), "position")
+def live_newest_per_ip(
+    live: DataFrame, day: date | str | None, limit: int | None = SUMMARY_ALERTS, ip: str | None = None
+) -> DataFrame:
+    """The newest alerts of every IP, or of one, with their position."""
+    return _feed_columns(top_per_key(of_day(live, day, ip), "source_ip", newest_first(), limit), "position")
 
 
 def risk_distribution(reputation: DataFrame) -> DataFrame:
@@ -192,10 +202,9 @@ def risk_distribution(reputation: DataFrame) -> DataFrame:
 
 
 def with_last_live(
-    rows: DataFrame, live: DataFrame, day: date | str | None, newest: int | None = NEWEST_LIVE
+    rows: DataFrame, live: DataFrame, day: date | str | None, newest: int | None = None
 ) -> DataFrame:
-    """Adds `last_live`, the newest live time of the row's IP among the newest alerts of the day, or among all of
-    them with `newest=None`."""
+    """Adds `last_live`, the newest live time of the row's IP among all alerts of the day, or among its `newest`."""
     alerts = of_day(live, day)
     if newest is not None:
         alerts = alerts.orderBy(*newest_first()).limit(newest)
@@ -213,13 +222,14 @@ LIVE_COUNTS = (
 )
 
 
-def ip_profile(reputation: DataFrame, ip_stats: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row per IP known to the batch or the live side.
+def ip_profile(reputation: DataFrame, ip_stats: DataFrame, summary: DataFrame, ip: str | None = None) -> DataFrame:
+    """One row per IP known to the batch or the live side, or the row of one.
 
-    Counts come from the reputation, else from `global_ip_stats`, else they are 0; then the combined totals of both
-    sides and the recommendation. Reputation and summary are both grouped by IP, so their join needs no shuffle of
-    its own; `ip_stats` is a top list of at most 50 rows.
+    Counts come from the reputation, else from `global_ip_stats` (which may be of another day), else they are 0; then the
+    combined totals of both sides and the recommendation. All three are grouped by IP, so their joins need no shuffle of
+    their own.
     """
+    reputation, ip_stats, summary = (of_ip(rows, ip) for rows in (reputation, ip_stats, summary))
     fallback = ip_stats.select(
         "src_ip",
         F.col("alert_count").alias("_total_alerts"),
@@ -228,7 +238,7 @@ def ip_profile(reputation: DataFrame, ip_stats: DataFrame, summary: DataFrame) -
     known = reputation.select(
         "src_ip", "risk_score", "risk_level", "unique_targets", "unique_protocols", "total_alerts", *HISTORICAL_COUNTS
     ).withColumn("_batch", F.lit(True))
-    joined = known.join(summary, "src_ip", "full").join(F.broadcast(fallback), "src_ip", "left")
+    joined = known.join(summary, "src_ip", "full").join(fallback, "src_ip", "left")
 
     def historical(name: str) -> Column:
         return F.coalesce(F.col(name), F.col(f"_{name}"), F.lit(0).cast("long"))
@@ -294,21 +304,21 @@ def signal_matrix(profile: DataFrame) -> DataFrame:
     return rows.withColumn("total", F.col("batch") + F.col("live")).filter(F.col("total") >= 1)
 
 
-def ip_relations(pairs: DataFrame, limit: int = RELATIONS_PER_IP) -> DataFrame:
-    """The worst relations of every IP, with their position. Takes the stored top list or all pairs."""
+def ip_relations(pairs: DataFrame, limit: int | None = RELATIONS_PER_IP, ip: str | None = None) -> DataFrame:
+    """The worst relations of every IP, or of one, with their position. Takes all pairs."""
     order = [F.col("relation_risk_score").desc(), F.col("alert_count").desc(), F.col("dest_ip").asc()]
-    return top_per_key(pairs, "src_ip", order, limit)
+    return top_per_key(of_ip(pairs, ip), "src_ip", order, limit)
 
 
-def ip_top_types(types: DataFrame, limit: int = TYPES_PER_IP) -> DataFrame:
-    """The most frequent alert types of every IP, with their position."""
-    return top_per_key(types, "src_ip", [F.col("alert_count").desc(), F.col("alert_type").asc()], limit)
+def ip_top_types(types: DataFrame, limit: int | None = TYPES_PER_IP, ip: str | None = None) -> DataFrame:
+    """The most frequent alert types of every IP, or of one, with their position."""
+    return top_per_key(of_ip(types, ip), "src_ip", [F.col("alert_count").desc(), F.col("alert_type").asc()], limit)
 
 
-def ip_recent_history(history: DataFrame, limit: int = HISTORY_PER_IP) -> DataFrame:
-    """The newest alerts of every IP, with their position."""
+def ip_recent_history(history: DataFrame, limit: int | None = HISTORY_PER_IP, ip: str | None = None) -> DataFrame:
+    """The newest alerts of every IP, or of one, with their position."""
     order = [*view_order("ip_historical_alerts"), F.col("bytes_transferred").asc()]
-    return top_per_key(history, "src_ip", order, limit)
+    return top_per_key(of_ip(history, ip), "src_ip", order, limit)
 
 
 def ip_history(history: DataFrame, ip: str, limit: int = HISTORY_PER_IP) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +86,49 @@ def lookup(view: DataFrame, key: str) -> DataFrame:
 def lookup_prefix(view: DataFrame, prefix: str) -> DataFrame:
     """The rows whose key starts with `prefix|`; the prefix is pushed to the files."""
     return view.filter(F.col("row_key").startswith(f"{prefix}|"))
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path in its terms: whatever store the tables are in."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders at the path, in order; none if it does not exist."""
+    files, root = _file_system(spark, path)
+    if not files.exists(root):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(root) if status.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, root = _file_system(spark, path)
+    files.delete(root, True)
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Deletes all versions of the views but the `keep` newest published ones, and gives their names. Newer versions that
+    are not published yet are left alone."""
+    if keep < 1:
+        raise ValueError("the current version must stay")
+    published = [row.version for row in spark.read.parquet(f"{path}/published").distinct().orderBy(F.col("version").desc()).collect()]
+    oldest, gone = published[:keep][-1], set()
+    for view in folders(spark, path):
+        for folder in folders(spark, f"{path}/{view}"):
+            version = folder.removeprefix("version=")
+            if folder != version and version < oldest:
+                delete_folder(spark, f"{path}/{view}/{folder}")
+                gone.add(version)
+    return sorted(gone)
+
+
+def drop_expired_days(spark: SparkSession, path: str, oldest: date) -> list[str]:
+    """Deletes the partitions by `alert_date` of a stored live table that lie before `oldest`, and gives their dates."""
+    gone = []
+    for folder in folders(spark, path):
+        day = folder.removeprefix("alert_date=")
+        if folder != day and day[:4].isdigit() and day < oldest.isoformat():
+            delete_folder(spark, f"{path}/{folder}")
+            gone.append(day)
+    return gone

@@ -242,17 +242,18 @@ def row_counts(**tables: DataFrame) -> DataFrame:
 
 
 def all_views(alerts: DataFrame, rolled: DataFrame) -> dict[str, DataFrame]:
-    """The ten stored views by name. Both inputs are used many times: give stored tables."""
+    """The ten stored views by name, in full: a reader that wants a top list gives its length. Both inputs are used many
+    times: give stored tables."""
     reputation = ip_reputation(rolled)
     return {
         "ip_reputation": reputation,
-        "global_ip_stats": global_ip_stats(rolled),
+        "global_ip_stats": global_ip_stats(rolled, limit=None),
         "global_protocol_stats": global_protocol_stats(rolled),
         "global_attack_patterns": global_attack_patterns(rolled),
         "ip_attack_types": ip_attack_types(rolled),
-        "target_ip_stats": target_ip_stats(rolled),
+        "target_ip_stats": target_ip_stats(rolled, limit=None),
         "threat_timeline": threat_timeline(alerts),
-        "ip_historical_alerts": ip_historical_alerts(alerts),
-        "attacker_victim_stats": attacker_victim_stats(rolled),
-        "high_risk_ips": high_risk_ips(reputation),
+        "ip_historical_alerts": ip_historical_alerts(alerts, limit=None),
+        "attacker_victim_stats": attacker_victim_stats(rolled, limit=None),
+        "high_risk_ips": high_risk_ips(reputation, limit=None),
     }

@@ -11,12 +11,24 @@ from netsentry.schema import LOG_COLUMNS, LOG_SCHEMA
 
 REPLAY_FIRST = 2000  # fixed value: rows sent first
 REPLAY_NEXT = 500  # fixed value: default size of the following slices
-MAX_OFFSETS_PER_TRIGGER = 5000  # fixed value: intake limit of the alert job
 
 
-def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Log events of a CSV file with a header; the schema is declared, so no extra pass infers it."""
-    return spark.read.schema(LOG_SCHEMA).option("header", True).csv(path)
+def read_log_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Log events of CSV files with a header, in the fields of `LOG_SCHEMA`.
+
+    Columns are found by their name in the header, in any order; missing ones are null, others are left out, and a value
+    that does not fit its type is null. Quoted text may hold commas and doubled quotes. With `multi_line` it may also
+    hold line breaks; a file is then read by one task. All files of a path must have the same header, else reading fails.
+    """
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": False}
+    raw = spark.read.options(**options).csv(path)
+    named = {c.lower(): c for c in raw.columns}
+    return raw.select(
+        *[
+            (F.col(f"`{named[f.name]}`").try_cast(f.dataType) if f.name in named else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in LOG_SCHEMA.fields
+        ]
+    )
 
 
 def encode_json(logs: DataFrame) -> DataFrame:
@@ -37,6 +49,13 @@ def parse_json(raw: DataFrame, schema: T.StructType = LOG_SCHEMA, value: str = "
     return parsed.select(*keep, "data.*")
 
 
+def rejects(raw: DataFrame, value: str = "value") -> DataFrame:
+    """One row: `messages`, and `rejected`, those that `parse_json` reads as nulls only. Works on batch and stream."""
+    parsed = raw.select(F.from_json(F.col(value).cast("string"), LOG_SCHEMA).alias("data"))
+    empty = F.coalesce(*[F.col(f"data.{name}").cast("string") for name in LOG_COLUMNS]).isNull()
+    return parsed.agg(F.count("*").alias("messages"), F.count_if(empty).alias("rejected"))
+
+
 def with_event_time(logs: DataFrame) -> DataFrame:
     """Adds `event_time`: its own value where present and readable, else the parsed `timestamp` text."""
     candidates: list[Column] = []
@@ -92,14 +111,11 @@ def with_date_parts(logs: DataFrame, time_col: str = "event_time") -> DataFrame:
     )
 
 
-def replay_slice(logs: DataFrame, order_by: str, offset: int = 0, rows: int | None = None) -> DataFrame:
-    """Consecutive rows of a replay: the first slice by default, then `rows` more from `offset`.
-
-    A slice that runs past the end is simply shorter; sizes below 1 fall back to the default.
-    """
-    default = REPLAY_FIRST if offset == 0 else REPLAY_NEXT
-    size = rows if rows is not None and rows > 0 else default
-    return logs.orderBy(order_by).offset(offset).limit(size)
+def replay_slice(logs: DataFrame, order_by: str, offset: int = 0, rows: int = REPLAY_FIRST) -> DataFrame:
+    """Consecutive rows of a replay: `rows` of them from `offset`. A slice that runs past the end is simply shorter."""
+    if offset < 0 or rows < 1:
+        raise ValueError("a slice begins at 0 or later and has at least one row")
+    return logs.orderBy(order_by).offset(offset).limit(rows)
 
 
 def publish_kafka(logs: DataFrame, servers: str, topic: str) -> None:
@@ -117,12 +133,12 @@ def stream_kafka(
     spark: SparkSession,
     servers: str,
     topic: str,
-    max_offsets: int | None = MAX_OFFSETS_PER_TRIGGER,
+    max_offsets: int | None = None,
     starting: str = "latest",
 ) -> DataFrame:
     """Keyed message stream, `key` and `value` as text; needs the Kafka connector on the class path.
 
-    The alert job reads with `max_offsets`, the archive job with `None`.
+    `max_offsets` bounds the messages of a micro-batch; by default a batch takes what has arrived.
     """
     reader = (
         spark.readStream.format("kafka")

@@ -116,8 +116,12 @@ cat AS (SELECT *, {CATEGORY} AS attack_category FROM alerts)"""
 # Live alerts of a finished replay: inserted at the end of the minute of their event time. The byte threshold is
 # lowered so that the data at hand has volume alerts.
 LIVE_VOLUME_BYTES = 400_000
-_LIVE_ID = """sha256(concat_ws('|', source_ip, dest_ip, protocol, user_agent, request_path, alert_type,
-       CAST(count_value AS VARCHAR), strftime(event_time, '%Y-%m-%d %H:%M:%S')))"""
+_ID_PARTS = (
+    "source_ip", "dest_ip", "protocol", "user_agent", "request_path", "alert_type", "CAST(count_value AS VARCHAR)",
+    "strftime(event_time, '%Y-%m-%d %H:%M:%S')",
+)
+_ESCAPED = ", ".join(rf"coalesce(replace(replace({part}, '\', '\\'), '|', '\|'), '\N')" for part in _ID_PARTS)
+_LIVE_ID = f"sha256(concat_ws('|', {_ESCAPED}))"
 LIVE = f"""
 live_blocked AS (
 SELECT source_ip, protocol, w, count(*) AS n
@@ -184,9 +188,8 @@ FROM (SELECT *, least(100, malicious_count * 5 + suspicious_count * 2 + blocked_
               {text_time('min(event_time)', 'first_seen')}, {text_time('max(event_time)', 'last_seen')},
               {text_time('min(archived_at)', 'first_archived_at')}, {text_time('max(archived_at)', 'last_archived_at')}
             FROM cat GROUP BY src_ip))),
-global_ip_stats AS (
-SELECT src_ip, count(*) AS alert_count, {_flags('blocked')} FROM cat GROUP BY src_ip
-ORDER BY alert_count DESC, src_ip LIMIT 50),
+ip_stats AS (SELECT src_ip, count(*) AS alert_count, {_flags('blocked')} FROM cat GROUP BY src_ip),
+global_ip_stats AS (SELECT * FROM ip_stats ORDER BY alert_count DESC, src_ip LIMIT 50),
 global_protocol_stats AS (
 SELECT protocol, count(*) AS alert_count, {_flags()}, {_BYTES},
        round(sum(bytes_transferred) / count(*), 2) AS avg_bytes_per_alert FROM cat GROUP BY protocol),
@@ -214,11 +217,11 @@ SELECT sha256(concat_ws('|', src_ip, dest_ip, protocol, path, alert_type, CAST(e
                         CAST(archived_at AS VARCHAR))) AS row_hash,
        src_ip, dest_ip, protocol, path, alert_type, attack_category, event_time, archived_at, bytes_transferred
 FROM cat),
-ip_historical_alerts AS (
+full_history AS (
 SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time,
-                  strftime(archived_at, '%Y-%m-%d %H:%M:%S') AS archived_at)
-FROM (SELECT * FROM history
-      ORDER BY archived_at DESC, event_time DESC, row_hash, bytes_transferred LIMIT 20000)),
+                  strftime(archived_at, '%Y-%m-%d %H:%M:%S') AS archived_at) FROM history),
+ip_historical_alerts AS (
+SELECT * FROM full_history ORDER BY archived_at DESC, event_time DESC, row_hash, bytes_transferred LIMIT 20000),
 pairs AS (
 SELECT *, least(100, {_PAIR_SCORE}) AS relation_risk_score
 FROM (SELECT src_ip, dest_ip, count(*) AS alert_count, count(DISTINCT protocol) AS unique_protocols,
@@ -226,7 +229,8 @@ FROM (SELECT src_ip, dest_ip, count(*) AS alert_count, count(DISTINCT protocol)
       FROM cat WHERE dest_ip <> '-' GROUP BY src_ip, dest_ip)),
 attacker_victim_stats AS (
 SELECT * FROM pairs ORDER BY relation_risk_score DESC, alert_count DESC, src_ip, dest_ip LIMIT 50),
-high_risk_ips AS (SELECT * FROM ip_reputation WHERE risk_score >= 60 ORDER BY risk_score DESC, src_ip LIMIT 50)"""
+risky AS (SELECT * FROM ip_reputation WHERE risk_score >= 60),
+high_risk_ips AS (SELECT * FROM risky ORDER BY risk_score DESC, src_ip LIMIT 50)"""
 
 DAY = "2024-01-01"
 TODAY = f"today AS (SELECT * FROM live WHERE alert_date = DATE '{DAY}')"
@@ -308,9 +312,9 @@ _ALERT_TEXT = f"""src_ip, dest_ip, protocol, path, alert_type, {text_time('event
   bytes_transferred, threat_label, action"""
 
 
-def _list(name: str, key: str, value: str, limit: int) -> str:
+def _list(name: str, key: str, value: str, limit: int, table: str = "") -> str:
     return f"""SELECT * FROM (SELECT '{name}' AS list, {key} AS row_key, CAST({value} AS BIGINT) AS value,
-      row_number() OVER (ORDER BY {value} DESC, {key}) AS position FROM {name}) WHERE position <= {limit}"""
+      row_number() OVER (ORDER BY {value} DESC, {key}) AS position FROM {table or name}) WHERE position <= {limit}"""
 
 
 _PAIR_KEY = "concat_ws('|', src_ip, dest_ip)"
@@ -318,6 +322,16 @@ _TYPE_KEY = "concat_ws('|', src_ip, alert_type)"
 _HISTORY_KEY = "concat_ws('|', src_ip, archived_at, event_time, row_hash)"
 
 
+# The stored views with their key and the table that has all their rows.
+_STORED = (
+    ("ip_reputation", "src_ip", "ip_reputation"), ("global_ip_stats", "src_ip", "ip_stats"),
+    ("global_protocol_stats", "protocol", "global_protocol_stats"), ("global_attack_patterns", "alert_type", "global_attack_patterns"),
+    ("ip_attack_types", _TYPE_KEY, "ip_attack_types"), ("target_ip_stats", "dest_ip", "targets"),
+    ("threat_timeline", "time_bucket", "threat_timeline"), ("ip_historical_alerts", _HISTORY_KEY, "full_history"),
+    ("attacker_victim_stats", _PAIR_KEY, "pairs"), ("high_risk_ips", "src_ip", "risky"),
+)
+
+
 def _cells(*columns: str) -> str:
     return ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-') AS {c}" for c in columns)
 
@@ -345,6 +359,14 @@ SQL = {
         threat_label, log_type, bytes_transferred, user_agent, request_path FROM netlog""",
     "replay_slice": f"""{_with(NETLOG)} SELECT event_id, timestamp, source_ip, request_path FROM netlog
         ORDER BY event_id LIMIT 500 OFFSET 2000""",
+    "csv_to_alerts": rf"""{_with(NETLOG, LOGS)}, hostile AS (
+        SELECT * REPLACE ('/q?a="x",' || request_path || '\";b' AS request_path) FROM logs)
+        SELECT source_ip AS src_ip, dest_ip, request_path AS path, alert_type, {text_time('event_time')}, bytes_transferred
+        FROM (SELECT *, {SIGNATURE} AS alert_type FROM hostile) WHERE alert_type IS NOT NULL""",
+    "reject_counts": f"""{_with(NETLOG)} SELECT count(*) AS messages, count(*) FILTER (event_id % 7 = 0) AS rejected FROM netlog""",
+    "view_scan": f"""{_V} {' UNION ALL '.join(
+        f'SELECT {chr(39)}{view}{chr(39)} AS view, count(DISTINCT {key}) AS "rows", count(DISTINCT {key}) AS "keys" FROM {table}'
+        for view, key, table in _STORED)}""",
     "json_props_parse": """SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
     "archive_scan_hour": f"""{_with(NETLOG)} SELECT {text_time("date_trunc('hour', event_time)", 'hour_start')},
         count(*) AS logs, count(*) FILTER (lower(action) = 'blocked') AS blocked_logs,
@@ -359,8 +381,10 @@ SQL = {
         (SELECT * FROM today WHERE source_ip = '185.10.10.5' {_NEWEST} LIMIT 200)""",
     "view_point_lookup": f"""{_V} SELECT src_ip AS row_key, src_ip, total_alerts, risk_score, risk_level, last_seen
         FROM ip_reputation WHERE src_ip = '185.10.10.5'""",
+    "view_prefix_scan": f"""{_V} SELECT {_TYPE_KEY} AS row_key, src_ip, alert_type, alert_count, last_seen FROM ip_attack_types
+        WHERE src_ip = '185.10.10.5'""",
     "ip_history_prefix_scan": f"""{_V} SELECT {_HISTORY_KEY} AS row_key, src_ip, alert_type, event_time, archived_at
-        FROM (SELECT DISTINCT ON (row_hash) * FROM ip_historical_alerts WHERE src_ip = '185.10.10.5')
+        FROM (SELECT DISTINCT ON (row_hash) * FROM full_history WHERE src_ip = '185.10.10.5')
         ORDER BY archived_at DESC, event_time DESC, row_hash LIMIT 200""",
     # sinks
     "stream_archive_counts": f"""{_with(NETLOG)} SELECT CAST(year(event_time) AS BIGINT) AS year,
@@ -371,6 +395,15 @@ SQL = {
         SELECT alert_type, event_time FROM live WHERE alert_type NOT IN ('REPEATED_BLOCKED_ACTIVITY', 'DATA_EXFILTRATION')
         UNION ALL SELECT 'REPEATED_BLOCKED_ACTIVITY', event_time FROM ({STREAM_BLOCKED_CLOSED})
         UNION ALL SELECT 'DATA_EXFILTRATION', event_time FROM ({STREAM_VOLUME_CLOSED})) GROUP BY alert_type""",
+    "live_compaction_counts": f"""{_LIVE} SELECT alert_type, source_ip, count(*) AS alerts, {text_time('max(event_time)', 'last_event')}
+        FROM (SELECT alert_type, source_ip, event_time FROM live
+            WHERE alert_type NOT IN ('REPEATED_BLOCKED_ACTIVITY', 'DATA_EXFILTRATION')
+          UNION ALL SELECT 'REPEATED_BLOCKED_ACTIVITY', src_ip, event_time FROM ({STREAM_BLOCKED_CLOSED})
+          UNION ALL SELECT 'DATA_EXFILTRATION', src_ip, event_time FROM ({STREAM_VOLUME_CLOSED})) GROUP BY alert_type, source_ip""",
+    "expired_partitions": f"""{_LIVE} SELECT CAST(day AS VARCHAR) AS alert_date, count(*) AS alerts,
+        count(DISTINCT source_ip) AS sources
+        FROM (SELECT source_ip, alert_date + CAST(length(source_ip) % 3 AS INTEGER) AS day FROM live)
+        WHERE day >= DATE '2024-01-02' GROUP BY day""",
     "alert_null_defaults": f"""{_LIVE}, gaps AS (
         SELECT event_id, source_ip, alert_type, archived_at AS inserted_at,
           coalesce(CASE WHEN event_id % 2 <> 0 THEN dest_ip END, '-') AS dest_ip,
@@ -384,19 +417,19 @@ SQL = {
           source_ip, dest_ip, alert_type, request_path, {text_time('event_time')}, protocol, user_agent FROM gaps""",
     "view_export_text": f"""{_V} SELECT src_ip AS row_key, {_cells(*_REPUTATION_COLUMNS)} FROM ip_reputation""",
     "view_row_keys": f"""{_V} SELECT 'ip_reputation' AS view, src_ip AS row_key FROM ip_reputation
-        UNION ALL SELECT 'global_ip_stats', src_ip FROM global_ip_stats
+        UNION ALL SELECT 'global_ip_stats', src_ip FROM ip_stats
         UNION ALL SELECT 'global_protocol_stats', protocol FROM global_protocol_stats
         UNION ALL SELECT 'global_attack_patterns', alert_type FROM global_attack_patterns
         UNION ALL SELECT 'ip_attack_types', {_TYPE_KEY} FROM ip_attack_types
-        UNION ALL SELECT 'target_ip_stats', dest_ip FROM target_ip_stats
+        UNION ALL SELECT 'target_ip_stats', dest_ip FROM targets
         UNION ALL SELECT 'threat_timeline', time_bucket FROM threat_timeline
-        UNION ALL SELECT 'ip_historical_alerts', key FROM (SELECT DISTINCT {_HISTORY_KEY} AS key FROM ip_historical_alerts)
-        UNION ALL SELECT 'attacker_victim_stats', {_PAIR_KEY} FROM attacker_victim_stats
-        UNION ALL SELECT 'high_risk_ips', src_ip FROM high_risk_ips""",
+        UNION ALL SELECT 'ip_historical_alerts', key FROM (SELECT DISTINCT {_HISTORY_KEY} AS key FROM full_history)
+        UNION ALL SELECT 'attacker_victim_stats', {_PAIR_KEY} FROM pairs
+        UNION ALL SELECT 'high_risk_ips', src_ip FROM risky""",
     "kpi_total_unique_targets": f"""{_A} SELECT count(DISTINCT dest_ip) AS total_unique_targets FROM alerts WHERE dest_ip <> '-'""",
     "view_kpi_row": f"""{_V} SELECT dest_ip AS row_key, CAST(NULL AS VARCHAR) AS row_type,
         CAST(alert_count AS VARCHAR) AS alert_count, CAST(target_risk_score AS VARCHAR) AS target_risk_score,
-        CAST(NULL AS VARCHAR) AS total_unique_targets FROM target_ip_stats
+        CAST(NULL AS VARCHAR) AS total_unique_targets FROM targets
         UNION ALL SELECT '__KPI_TOTAL__', 'kpi', NULL, NULL, CAST((SELECT count(*) FROM targets) AS VARCHAR)""",
     "live_retention_24h": f"""{_LIVE} SELECT alert_id, source_ip, alert_type, {text_time('inserted_at')} FROM live
         WHERE inserted_at > TIMESTAMP '2024-01-02 00:10:00' - INTERVAL 24 HOUR""",
@@ -454,6 +487,8 @@ SQL = {
     "target_ip_stats": f"{_V} SELECT * FROM target_ip_stats",
     "threat_timeline": f"{_V} SELECT * FROM threat_timeline",
     "ip_historical_alerts": f"{_V} SELECT * FROM ip_historical_alerts",
+    "ip_historical_newest_500": f"""{_V} SELECT * FROM full_history
+        ORDER BY archived_at DESC, event_time DESC, row_hash, bytes_transferred LIMIT 500""",
     "attacker_victim_stats": f"{_V} SELECT * FROM attacker_victim_stats",
     "high_risk_ips": f"{_V} SELECT * FROM high_risk_ips",
     "log_and_alert_counts": f"""{_A} SELECT 'logs' AS "table", count(*) AS "rows" FROM logs
@@ -462,7 +497,7 @@ SQL = {
     "live_count_by_day": f"{_LIVE} SELECT CAST(alert_date AS VARCHAR) AS alert_date, count(*) AS alerts FROM live GROUP BY alert_date",
     "live_kpis": f"""{_LIVE} SELECT count(*) AS loaded, count(DISTINCT source_ip) AS live_ips,
         strftime(max(inserted_at), '%H:%M:%S') AS live_last, (SELECT count(*) FROM today) AS live_total
-        FROM (SELECT * FROM today {_NEWEST} LIMIT 1000)""",
+        FROM today""",
     "live_summary_by_ip": f"{_LIVE} SELECT * FROM summary",
     "live_dimension_counts": f"""{_LIVE} SELECT source_ip AS src_ip, dimension, value, count(*) AS alerts FROM (
         SELECT source_ip, 'alert_type' AS dimension, alert_type AS value FROM today
@@ -472,18 +507,37 @@ SQL = {
         row_number() OVER (PARTITION BY source_ip {_NEWEST}) AS position FROM today) WHERE position <= 100""",
     "live_feed_page": f"""{_LIVE} SELECT {_FEED}, CAST(3 AS BIGINT) AS page, pages, position FROM (
         SELECT *, greatest(1, CAST(ceil(count(*) OVER () / 100) AS BIGINT)) AS pages,
-          row_number() OVER ({_NEWEST}) AS position FROM (SELECT * FROM today {_NEWEST} LIMIT 1000))
+          row_number() OVER ({_NEWEST}) AS position FROM today)
         WHERE position BETWEEN 201 AND 300""",
     "risk_distribution": f"""{_V} SELECT name, count(risk_level) AS value FROM
         (VALUES ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) AS levels(name) LEFT JOIN ip_reputation ON risk_level = name
         GROUP BY name""",
     "reputation_with_last_live": f"""{_P} SELECT r.src_ip, risk_score, risk_level, total_alerts,
         {text_time('last_live')} FROM ip_reputation r LEFT JOIN (SELECT source_ip AS src_ip, max(inserted_at) AS last_live
-        FROM (SELECT * FROM today {_NEWEST} LIMIT 1000) GROUP BY source_ip) l ON r.src_ip = l.src_ip""",
+        FROM today GROUP BY source_ip) l ON r.src_ip = l.src_ip""",
     "reputation_with_last_live_all": f"""{_P} SELECT r.src_ip, risk_score, risk_level, total_alerts,
         {text_time('last_live')} FROM ip_reputation r LEFT JOIN (SELECT source_ip AS src_ip, max(inserted_at) AS last_live
         FROM today GROUP BY source_ip) l ON r.src_ip = l.src_ip""",
     "ip_profile": f"{_P} SELECT * FROM profile",
+    "ip_profile_one": f"{_P} SELECT * FROM profile WHERE src_ip = '185.10.10.5'",
+    "ip_profile_fallback": f"""{_P}, half AS (SELECT * FROM ip_reputation WHERE CAST(split_part(src_ip, '.', -1) AS INTEGER) % 2 = 0)
+        SELECT coalesce(h.src_ip, s.src_ip) AS src_ip, CASE WHEN h.src_ip IS NOT NULL THEN 'ip_reputation'
+            WHEN g.src_ip IS NOT NULL THEN 'global_ip_stats' ELSE 'none' END AS historical_source,
+          coalesce(h.total_alerts, g.alert_count, 0) AS total_alerts, coalesce(h.risk_score, 0) AS risk_score,
+          coalesce(h.sqli_count, g.sqli_count, 0) AS sqli_count, coalesce(s.active_alerts, 0) AS active_alerts,
+          coalesce(h.total_alerts, g.alert_count, 0) + coalesce(s.active_alerts, 0) AS total_alerts_visible
+        FROM half h FULL JOIN summary s ON h.src_ip = s.src_ip LEFT JOIN ip_stats g ON g.src_ip = coalesce(h.src_ip, s.src_ip)""",
+    "ip_one": f"""{_P}
+        SELECT 'relations' AS part, position, dest_ip AS value FROM (SELECT dest_ip, row_number() OVER (ORDER BY
+            relation_risk_score DESC, alert_count DESC, dest_ip) AS position FROM pairs WHERE src_ip = '185.10.10.5')
+          WHERE position <= 30
+        UNION ALL SELECT 'types', position, alert_type FROM (SELECT alert_type, row_number() OVER (ORDER BY alert_count DESC,
+            alert_type) AS position FROM ip_attack_types WHERE src_ip = '185.10.10.5') WHERE position <= 50
+        UNION ALL SELECT 'history', position, row_hash FROM (SELECT row_hash, row_number() OVER (ORDER BY archived_at DESC,
+            event_time DESC, row_hash, bytes_transferred) AS position FROM history WHERE src_ip = '185.10.10.5')
+          WHERE position <= 200
+        UNION ALL SELECT 'live', position, alert_type FROM (SELECT alert_type, row_number() OVER ({_NEWEST}) AS position
+            FROM today WHERE source_ip = '185.10.10.5') WHERE position <= 100""",
     "ip_recommendation": f"""{_P} SELECT src_ip, risk_score, active_alerts, recommended_level, recommended_action,
         recommendation_reason FROM profile""",
     "ip_combined_totals": f"""{_P} SELECT src_ip, total_alerts_visible, scan_total_visible, sqli_total_visible,
@@ -492,7 +546,7 @@ SQL = {
         {' UNION ALL '.join(f"SELECT src_ip, '{l}' AS signal, {b} AS batch, {v or '0'} AS live FROM profile" for l, b, v in R.SIGNALS)}
         ) WHERE batch + live >= 1""",
     "ip_relations": f"""{_V} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY relation_risk_score DESC,
-        alert_count DESC, dest_ip) AS position FROM attacker_victim_stats) WHERE position <= 30""",
+        alert_count DESC, dest_ip) AS position FROM pairs) WHERE position <= 30""",
     "ip_relations_all": f"""{_V} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY relation_risk_score DESC,
         alert_count DESC, dest_ip) AS position FROM pairs) WHERE position <= 30""",
     "ip_top_types": f"""{_V} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY alert_count DESC,
@@ -508,13 +562,13 @@ SQL = {
         UNION ALL SELECT 'global_protocol_stats', count(*) FROM global_protocol_stats
         UNION ALL SELECT 'target_ip_stats', count(*) FROM targets""",
     "analytics_lists": f"""{_V} {' UNION ALL '.join([
-        _list('ip_reputation', 'src_ip', 'risk_score', 100), _list('high_risk_ips', 'src_ip', 'risk_score', 100),
-        _list('target_ip_stats', 'dest_ip', 'target_risk_score', 100),
-        _list('attacker_victim_stats', _PAIR_KEY, 'relation_risk_score', 100),
+        _list('ip_reputation', 'src_ip', 'risk_score', 100), _list('high_risk_ips', 'src_ip', 'risk_score', 100, 'risky'),
+        _list('target_ip_stats', 'dest_ip', 'target_risk_score', 100, 'targets'),
+        _list('attacker_victim_stats', _PAIR_KEY, 'relation_risk_score', 100, 'pairs'),
         _list('global_protocol_stats', 'protocol', 'alert_count', 50),
         _list('global_attack_patterns', 'alert_type', 'alert_count', 80)])}""",
     "global_bundle": f"""{_V} {' UNION ALL '.join([
-        _list('global_ip_stats', 'src_ip', 'alert_count', 100), _list('global_protocol_stats', 'protocol', 'alert_count', 100),
+        _list('global_ip_stats', 'src_ip', 'alert_count', 100, 'ip_stats'), _list('global_protocol_stats', 'protocol', 'alert_count', 100),
         _list('global_attack_patterns', 'alert_type', 'alert_count', 100)])}""",
     "timeline_last_24": f"{_V} SELECT * FROM threat_timeline ORDER BY time_bucket DESC LIMIT 24",
     "sort_text_numeric": f"""{_V}, cells AS (

@@ -1,17 +1,20 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import alert, alerts, at, live_row, live_table, rows_of
+from helpers import alert, alerts, at, live_row, live_table, plan, rows_of
 from netsentry.functions.score import recommendation
 from netsentry.operators.live import retained, stored
 from netsentry.operators.rollup import rollup
-from netsentry.plans import serving, views
+from netsentry.plans import serving, store, views
 
 DAY = at(0).date()
 
 
 def test_feed_limit():
-    assert [serving.feed_limit(v) for v in (20, "1000", 99, "x", None, -5)] == [20, 1000, 100, 100, 100, 100]
+    assert [serving.feed_limit(v) for v in (20, "1000", None)] == [20, 1000, 100]
+    for refused in (99, "x", -5):
+        with pytest.raises(ValueError):
+            serving.feed_limit(refused)
 
 
 def test_feed_is_newest_first_and_filtered(spark):
@@ -31,11 +34,54 @@ def test_times_of_the_feed(spark):
     assert got == {"2026-01-05T10:00:00": "10:00:00", None: "N/A", "2026-01-05T10:00:02.500000": "10:00:02"}
 
 
-@pytest.mark.parametrize("page, want", [(1, range(24, 14, -1)), (3, range(4, -1, -1)), (9, range(4, -1, -1)), (-1, range(24, 14, -1))])
+@pytest.mark.parametrize("page, want", [(1, range(24, 14, -1)), (3, range(4, -1, -1)), (4, [])])
 def test_pages(spark, page, want):
     got = serving.live_feed_page(live_table(spark, [live_row(k) for k in range(25)]), DAY, page, page_size=10).collect()
     assert [r["display_time"] for r in got] == [f"10:00:{s:02d}" for s in want]
-    assert {r["pages"] for r in got} == {3}
+    assert {r["pages"] for r in got} <= {3} and {r["page"] for r in got} <= {page}
+
+
+def test_pages_reach_every_alert(spark):
+    table = live_table(spark, [live_row(k % 7, alert_id=f"id{k:05d}") for k in range(2345)])
+    got = [r for page in (1, 12, 24) for r in serving.live_feed_page(table, DAY, page).collect()]
+    want = sorted(range(2345), key=lambda k: (k % 7, k), reverse=True)
+    positions = [*range(1, 101), *range(1101, 1201), *range(2301, 2346)]
+    assert [r["position"] for r in got] == positions
+    assert [r["display_time"] for r in got] == [f"10:00:{want[p - 1] % 7:02d}" for p in positions]
+    for page in (0, -1):
+        with pytest.raises(ValueError):
+            serving.live_feed_page(table, DAY, page)
+
+
+def test_one_ip_is_filtered_in_the_files(spark, tmp_path):
+    """The address reaches the scan of each stored table before any join or ranking."""
+    rows = [alert(src_ip=f"10.9.0.{k % 9}", dest_ip=f"t{k % 5}", archived_at=at(k)) for k in range(90)]
+    df = alerts(spark, rows)
+    path = str(tmp_path / "views")
+    store.write_views(views.all_views(df, rollup(df)), path, "v1")
+    live_path = str(tmp_path / "live")
+    live_table(spark, [live_row(k, source_ip=f"10.9.0.{k % 9}") for k in range(40)]).write.parquet(live_path)
+    live = spark.read.parquet(live_path)
+    read = {name: store.read_view(spark, path, name) for name in views.VIEW_KEYS}
+    one = "10.9.0.4"
+    frames = {
+        "relations": serving.ip_relations(read["attacker_victim_stats"], ip=one),
+        "types": serving.ip_top_types(read["ip_attack_types"], ip=one),
+        "history": serving.ip_recent_history(read["ip_historical_alerts"], ip=one),
+        "profile": serving.ip_profile(read["ip_reputation"], read["global_ip_stats"], serving.live_summary(live, DAY), one),
+    }
+    for name, frame in frames.items():
+        assert {r["src_ip"] for r in frame.collect()} == {one}
+        assert f"EqualTo(src_ip,{one})" in plan(frame), name
+    newest = serving.live_newest_per_ip(live, None, ip=one)
+    assert {r["src_ip"] for r in newest.collect()} == {one} and f"EqualTo(source_ip,{one})" in plan(newest)
+    assert plan(frames["profile"]).count(f"EqualTo(src_ip,{one})") == 2
+
+
+def test_lists_without_a_limit(spark):
+    df = alerts(spark, [alert(dest_ip=f"t{k}") for k in range(250)])
+    pairs = views.attacker_victim_stats(rollup(df), limit=None)
+    assert serving.ip_relations(pairs).count() == 30 and serving.ip_relations(pairs, limit=None).count() == 250
 
 
 def test_pages_of_an_empty_feed(spark):

@@ -26,6 +26,35 @@ def test_csv_to_alerts(spark):
     assert len(blocked) == 5 and {(r["src_ip"], r["protocol"]) for r in blocked} == {("203.0.113.10", "HTTP")}
 
 
+HEADER = "timestamp,source_ip,dest_ip,protocol,action,threat_label,log_type,bytes_transferred,user_agent,request_path"
+
+
+def test_csv_keeps_quoted_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + '\n2026,a,b,HTTP,allowed,clean,ids,7,"x, y","/q?a=""><script>,b\\""c"\n')
+    row = src.read_log_csv(spark, str(tmp_path)).first()
+    assert row["request_path"] == '/q?a="><script>,b\\"c' and row["user_agent"] == "x, y" and row["bytes_transferred"] == 7
+
+
+def test_csv_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + '\n2026,a,b,HTTP,allowed,clean,ids,7,"x\ny",/\n2027,c,d,TCP,allowed,clean,ids,,z,/\n')
+    rows = src.read_log_csv(spark, str(tmp_path), multi_line=True).collect()
+    assert [(r["source_ip"], r["user_agent"], r["bytes_transferred"]) for r in rows] == [("a", "x\ny", 7), ("c", "z", None)]
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("extra,dest_ip,source_ip,bytes_transferred\n1,target,origin,no number\n")
+    frame = src.read_log_csv(spark, str(tmp_path))
+    assert frame.schema.fieldNames() == LOG_SCHEMA.fieldNames()
+    row = frame.first()
+    assert (row["source_ip"], row["dest_ip"], row["bytes_transferred"], row["user_agent"]) == ("origin", "target", None, None)
+
+
+def test_rejects(spark):
+    rows = [('{"source_ip": "a"}',), ("{",), (None,), ("[]",), ('{"bytes_transferred": 3}',), ('{"other": 1}',)]
+    got = src.rejects(spark.createDataFrame(rows, "value string")).first()
+    assert (got["messages"], got["rejected"]) == (6, 4)
+
+
 def test_json_roundtrip_and_malformed_messages(spark):
     df = logs(spark, [log(dest_ip=None), log(bytes_transferred=7)])
     messages = src.encode_json(df)
@@ -67,11 +96,13 @@ def test_replay_slices(spark):
     def ids(*args):
         return [r["id"] for r in src.replay_slice(df, "id", *args).collect()]
     assert ids() == list(range(2000))
-    assert ids(2000) == list(range(2000, 2500))
-    assert ids(2500) == list(range(2500, 2700))
+    assert ids(2000) == list(range(2000, 2700))
+    assert ids(2000, 500) == list(range(2000, 2500))
     assert ids(2600, 10) == list(range(2600, 2610))
-    assert ids(2000, -1) == list(range(2000, 2500))
     assert ids(9000) == []
+    for refused in ((0, 0), (0, -1), (-1, 5)):
+        with pytest.raises(ValueError):
+            ids(*refused)
 
 
 def test_archive_prunes_hours_and_pushes_the_filter_on_action(spark, tmp_path):

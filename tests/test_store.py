@@ -1,3 +1,5 @@
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from helpers import alert, alerts, at, log, logs, plan, rows_of
@@ -66,3 +68,24 @@ def test_text_export_and_kpi_row(spark):
 def test_numeric_order_of_text(spark):
     df = spark.createDataFrame([("a", "9"), ("b", "10"), ("c", "-"), ("d", "x"), ("e", "-1")], "row_key string, v string")
     assert [r["row_key"] for r in serving.top_by_number(df, "v", 10, "row_key").collect()] == list("bacde")
+
+
+def test_old_versions_are_dropped(spark, tmp_path):
+    path = str(tmp_path / "views")
+    df = alerts(spark, [alert()])
+    view = {"ip_reputation": views.ip_reputation(rollup(df))}
+    for version in ("v1", "v2", "v3"):
+        store.write_views(view, path, version)
+    store.write_view("ip_reputation", view["ip_reputation"], path, "v4")
+    assert store.drop_old_versions(spark, path, keep=2) == ["v1"]
+    assert store.folders(spark, f"{path}/ip_reputation") == ["version=v2", "version=v3", "version=v4"]
+    assert store.read_view(spark, path, "ip_reputation").count() == 1
+
+
+def test_expired_days_are_dropped(spark, tmp_path):
+    path = str(tmp_path / "live")
+    rows = spark.createDataFrame([("2026-01-01", 1), ("2026-01-02", 2), (None, 3)], "alert_date string, n int")
+    rows.withColumn("alert_date", F.col("alert_date").cast("date")).write.partitionBy("alert_date").parquet(path)
+    assert store.drop_expired_days(spark, path, date(2026, 1, 2)) == ["2026-01-01"]
+    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [2, 3]
+    assert store.drop_expired_days(spark, str(tmp_path / "none"), date(2026, 1, 2)) == []

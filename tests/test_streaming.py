@@ -162,3 +162,22 @@ def test_reads_of_a_day_prune_the_stored_table(spark, tmp_path):
     assert "alert_date" in text.split("PartitionFilters: [")[1].split("]")[0]
     assert serving.live_feed(table, day, 100).count() == 1
     assert serving.live_feed(table, day - timedelta(days=1), 100).isEmpty()
+
+
+def test_alert_job_keeps_its_state_in_rocksdb_and_leaves_the_session_alone(spark, tmp_path):
+    source, live, state = (str(tmp_path / n) for n in ("source", "live", "state"))
+    publish(spark, traffic(), source)
+    before = {key: spark.conf.get(key, None) for key in STREAM_SETTINGS}
+    finish(jobs.start_alerts(open_stream(spark, source), live, state, ONCE, blocked_clock="event_time"))
+    assert {key: spark.conf.get(key, None) for key in STREAM_SETTINGS} == before
+    assert list((tmp_path / "state" / "volume" / "state").rglob("*.changelog")) or list((tmp_path / "state" / "volume" / "state").rglob("*.zip"))
+
+
+def test_compaction_is_repeatable(spark, tmp_path):
+    source, live, state, compact = (str(tmp_path / n) for n in ("source", "live", "state", "compact"))
+    publish(spark, traffic(), source)
+    finish(jobs.start_alerts(open_stream(spark, source), live, state, ONCE, blocked_clock="event_time"))
+    for _ in range(2):
+        jobs.compact_live(spark, live, compact)
+        assert rows_of(jobs.read_compacted(spark, compact)) == rows_of(jobs.read_live(spark, live))
+    assert len(list((tmp_path / "compact").rglob("*.parquet"))) == 1

@@ -111,6 +111,15 @@ def test_newest_equals_a_plain_sort(spark, n):
     assert newest(df, n, ("a", "b"), ("id",)).collect() == want
 
 
+@pytest.mark.parametrize("n", [1, 30, 500, 900, 5000])
+def test_newest_by_time_with_one_hot_second(spark, n):
+    """Most rows share one second; the narrowing by hour, minute and second must not cut through it."""
+    rows = [(at(0) if k % 3 else at(-(k % 5) * 1800 + k % 7) if k % 4 else None, k) for k in range(900)]
+    df = spark.createDataFrame(rows, "t timestamp, id int").repartition(6)
+    want = df.orderBy(F.col("t").desc(), "id").limit(n).collect()
+    assert newest(df, n, ("t",), ("id",)).collect() == want
+
+
 def test_top_per_key_equals_a_plain_ranking(spark):
     # One key owns most of the rows.
     rows = [("hot" if k % 3 else f"k{k % 9}", k * 7919 % 1000, k) for k in range(2000)]
