@@ -227,7 +227,8 @@ def _rows(columns: dict[str, pa.DataType]):
 
 
 def pack_documents(docs: DataFrame, pack_bytes: int = PACK) -> DataFrame:
-    """(`pack`, `bytes`, `ids`, `sizes`, `blob`) from (id bigint, text string)."""
+    """(`pack`, `bytes`, `ids`, `sizes`, `blob`, `sample`) from (id bigint, text string). The sample has the leading bytes
+    of SAMPLED suffixes at even distances."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
@@ -238,11 +239,14 @@ def pack_documents(docs: DataFrame, pack_bytes: int = PACK) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal number, held
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            row = [base + number], [held], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [zstandard.compress(b"".join(texts), 1)]
+            whole = b"".join(texts)
+            places = np.linspace(0, len(whole) - 8, SAMPLED).astype(np.int64) if len(whole) >= 8 else np.zeros(0, np.int64)
+            sample = _leads(np.frombuffer(whole, np.uint8), places).tobytes()
+            row = [base + number], [held], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [zstandard.compress(whole, 1)], [sample]
             ids.clear()
             texts.clear()
             number, held = number + 1, 0
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["pack", "bytes", "ids", "sizes", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["pack", "bytes", "ids", "sizes", "blob", "sample"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -255,7 +259,7 @@ def pack_documents(docs: DataFrame, pack_bytes: int = PACK) -> DataFrame:
         if texts:
             yield flush()
 
-    return docs.mapInArrow(packed, "pack bigint, bytes bigint, ids binary, sizes binary, blob binary")
+    return docs.mapInArrow(packed, "pack bigint, bytes bigint, ids binary, sizes binary, blob binary, sample binary")
 
 
 def _found(pack: pa.Table) -> Pack | None:
@@ -263,7 +267,7 @@ def _found(pack: pa.Table) -> Pack | None:
 
 
 def gram_rows(packs: DataFrame, buckets: int) -> DataFrame:
-    """Step 2, out: (`bucket`, `pack`, `grams`, `several`); bucket -1 has the sample of leading bytes."""
+    """Step 2, out: (`bucket`, `pack`, `grams`, `several`)."""
     table = _rows({"bucket": pa.int64(), "pack": pa.int64(), "grams": pa.binary(), "several": pa.binary()})
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +277,9 @@ def gram_rows(packs: DataFrame, buckets: int) -> DataFrame:
                 bucket, gram, several, _ = pack.routed(buckets)
                 cuts = np.nonzero(np.diff(bucket, prepend=-1))[0]
                 ends = np.append(cuts[1:], len(bucket))
-                leads = _leads(pack.raw, pack.anchors[np.argsort(pack.keys)[:SAMPLED]])
                 lists = [
-                    [-1, *bucket[cuts].tolist()], [row["pack"]] * (len(cuts) + 1),
-                    [leads.tobytes(), *(gram[a:b].tobytes() for a, b in zip(cuts, ends))],
-                    [b"", *(np.packbits(several[a:b]).tobytes() for a, b in zip(cuts, ends))],
+                    bucket[cuts].tolist(), [row["pack"]] * len(cuts), [gram[a:b].tobytes() for a, b in zip(cuts, ends)],
+                    [np.packbits(several[a:b]).tobytes() for a, b in zip(cuts, ends)],
                 ]
                 yield from table(lists).to_batches()
 
@@ -301,7 +303,7 @@ def splitters(sample: DataFrame, buckets: int) -> np.ndarray:
     shares = [k / buckets for k in range(1, buckets)]
     if not shares:
         return np.zeros(0, np.int64)
-    cuts = sample.select("grams").mapInArrow(leads, "lead bigint").agg(F.percentile_approx("lead", shares, 10_000).alias("cuts")).first()
+    cuts = sample.mapInArrow(leads, "lead bigint").agg(F.percentile_approx("lead", shares, 10_000).alias("cuts")).first()
     return np.unique(np.array(cuts["cuts"] or [], np.int64))
 
 
@@ -325,7 +327,7 @@ def shared_grams(grams: DataFrame, hot_packs: int = HOT) -> DataFrame:
                     held.append(value)
         return table(lists)
 
-    return grams.filter("bucket >= 0").groupBy("bucket").applyInArrow(compare, "pack bigint, bucket bigint, shared binary, hot binary")
+    return grams.groupBy("bucket").applyInArrow(compare, "pack bigint, bucket bigint, shared binary, hot binary")
 
 
 class Sent:
@@ -365,7 +367,8 @@ class Sent:
         for kind, (records, least, _, _, bucket) in enumerate((self.suffixes, self.spread)):
             for b in np.unique(bucket):
                 chosen = bucket == b
-                yield kind, int(b), records[chosen].tobytes(), least[chosen].tobytes()
+                # In order, so neighbours share their beginnings and compress well.
+                yield kind, int(b), zstandard.compress(records[chosen].tobytes(), 1), least[chosen].tobytes()
 
     def removed(self, pack: Pack, answers: list[dict]) -> np.ndarray:
         """The windows that also start in a document with a smaller id."""
@@ -412,7 +415,7 @@ def repeated_rows(suffixes: DataFrame) -> DataFrame:
         kind, bucket = (k.as_py() for k in key)
         width = LENGTH if kind else RECORD
         parts = [np.frombuffer(i, np.int64) for i in rows.column("ids").to_pylist()]
-        records = np.concatenate([np.frombuffer(r, np.uint8).reshape(-1, width) for r in rows.column("records").to_pylist()])
+        records = np.concatenate([np.frombuffer(zstandard.decompress(r), np.uint8).reshape(-1, width) for r in rows.column("records").to_pylist()])
         ids = np.concatenate(parts)
         if kind:
             order = multikey_order(records)
@@ -473,9 +476,9 @@ def remove_repeats(
     packs = stored(pack_documents(rows, pack_bytes), "suffix-packs")
     size = packs.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(shuffle_width(docs.sparkSession), -(-size // (BUCKET * 13)))
-    grams = stored(gram_rows(packs, buckets), "suffix-grams")
-    cuts = splitters(grams.filter("bucket < 0"), buckets)
-    flags = stored(shared_grams(grams, hot_packs), "suffix-flags")
+    cuts = splitters(packs.select("sample"), buckets)
+    packs = packs.drop("sample")
+    flags = stored(shared_grams(gram_rows(packs, buckets), hot_packs), "suffix-flags")
     masks = repeated_rows(suffix_rows(packs, flags, buckets, cuts))
     nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
     replies = masks.select("pack", "bucket", "kind", "masks", nothing("shared", "binary"), nothing("hot", "binary")).unionByName(
