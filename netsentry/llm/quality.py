@@ -155,12 +155,14 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     stats = stored(statistics(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))), "quality-statistics")
     names = [rule.name for rule in rules()]
     voted = stats.select("*", *(rule.vote() for rule in rules())).withColumn("votes", F.array(*names))
-    model = stored(estimate(voted.select("votes"), len(names)), "quality-model")
+    # One row of 2 * rules + 1 numbers, which the driver hands on as constants.
+    found = estimate(voted.select("votes"), len(names)).first()["model"]
+    numbers = lambda values: F.array(*(F.lit(v) for v in values))
+    model = F.struct(F.lit(found["share"]).alias("share"), numbers(found["on_good"]).alias("on_good"), numbers(found["on_bad"]).alias("on_bad"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return (
-        voted.join(F.broadcast(model))  # one row
-        .withColumn("base_failed", failed)
-        .withColumn("quality", posterior(F.col("votes"), F.col("model")))
+        voted.withColumn("base_failed", failed)
+        .withColumn("quality", posterior(F.col("votes"), model))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-        .drop("votes", "model")
+        .drop("votes")
     )
