@@ -98,6 +98,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT r, coalesce(doc_id, 9223372036854775807) AS id, unnest(range(0, length(h) // 2 - 49)) AS p, h FROM d),
+        s AS (SELECT r, id, p, substr(h, 2 * p + 1, 100) AS s FROM w),
+        gone AS (SELECT r, p FROM (SELECT r, p, id, min(id) OVER (PARTITION BY s) AS owner FROM s) WHERE owner < id),
+        runs AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM (
+            SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone)),
+        spans AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY r, run),
+        pieces AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS from_ FROM spans),
+        kept AS (SELECT d.r, any_value(d.doc_id) AS doc_id, any_value(d.h) AS h, coalesce(sum(b - a), 0) AS n_removed, count(a) AS n_spans,
+                   coalesce(string_agg(substr(d.h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a), '') AS before,
+                   coalesce(max(b), 0) AS tail
+                 FROM d LEFT JOIN pieces ON d.r = pieces.r GROUP BY d.r)
+        SELECT doc_id, length(h) // 2 AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
+               sha256(unhex(before || substr(h, 2 * tail + 1))) AS kept_sha256
+        FROM kept""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes,

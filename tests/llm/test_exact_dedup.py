@@ -60,3 +60,12 @@ def test_many_copies(spark):
     assert sum(r.kept for r in rows) == 1 + 700
     hot = [r for r in rows if r.doc_id % 3 == 0]
     assert {(r.keep_id, r.group_size) for r in hot} == {(2997, 1000)}
+
+
+def test_query_equals_sql(spark):
+    from compare import database, difference
+
+    from netsentry.llm.catalog import SQL, op5_exact_dedup
+
+    folder = "/root/testdata/sf0.001"
+    assert difference(spark, database(folder), op5_exact_dedup, SQL["op5_exact_dedup"], folder) is None

@@ -96,3 +96,12 @@ def test_hostile_rows(hostile, nothing):
     rows = S.remove_repeats(hostile, full=False).collect()
     assert sorted(map(tuple, rows), key=str) == brute([(r.doc_id, r.text) for r in hostile.collect()])
     assert S.remove_repeats(nothing).count() == 0
+
+
+def test_query_equals_sql(spark):
+    from compare import database, difference
+
+    from netsentry.llm.catalog import SQL, op10_suffix_dedup
+
+    folder = "/root/testdata/sf0.001"
+    assert difference(spark, database(folder), op10_suffix_dedup, SQL["op10_suffix_dedup"], folder) is None
