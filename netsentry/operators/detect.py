@@ -253,10 +253,20 @@ def live_repeated_blocked(
 ) -> DataFrame:
     """Live form of `repeated_blocked`, for batch and stream; the alert is timed at the end of its window.
 
-    `time_col` decides the clock: the event's own time, or the arrival time the job stamps on each micro-batch.
+    `time_col` decides the clock: the event's own time, or the arrival time the job stamps on each micro-batch. In batch
+    the windows are summed from panes as in `repeated_blocked`; a stream keeps a sum per window, which closes with it.
     """
+    blocked = logs.filter(F.col("action") == "blocked")
+    if not logs.isStreaming and size % slide == 0:
+        panes = _panes(blocked.filter(F.col(time_col).isNotNull()), F.col(time_col), slide)
+        full = _full_windows(panes, size, slide, threshold)
+        end = F.timestamp_seconds(F.col("window_start") + size)
+        return _live_window_alert(
+            full.select("source_ip", "protocol", F.col("events").alias("measure"), F.struct(end.alias("end")).alias("window")),
+            REPEATED_BLOCKED, REPEATED_BLOCKED_PATH,
+        )
     windows = (
-        _watermarked(logs.filter(F.col("action") == "blocked"), time_col, watermark)
+        _watermarked(blocked, time_col, watermark)
         .groupBy(F.window(time_col, f"{size} seconds", f"{slide} seconds"), "source_ip", "protocol")
         .agg(F.count("*").alias("measure"))
         .filter(F.col("measure") >= threshold)
