@@ -39,6 +39,7 @@ RECORD = LENGTH + BEFORE + 2  # suffix, bytes before it backwards, how many ther
 PACK = 1 << 21
 BUCKET = 4_000_000  # anchors of a bucket, about
 HOT = 512  # packs with a gram from which on its windows are sent one by one
+LEVEL = 5  # of the packs' compression: they are stored once and shuffled twice
 SAMPLED = 64  # leading bytes that a pack gives to the sample
 NO_ID = np.iinfo(np.int64).max  # documents without id come after all others
 
@@ -242,7 +243,7 @@ def pack_documents(docs: DataFrame, pack_bytes: int = PACK) -> DataFrame:
             whole = b"".join(texts)
             places = np.linspace(0, len(whole) - 8, SAMPLED).astype(np.int64) if len(whole) >= 8 else np.zeros(0, np.int64)
             sample = _leads(np.frombuffer(whole, np.uint8), places).tobytes()
-            row = [base + number], [held], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [zstandard.compress(whole, 1)], [sample]
+            row = [base + number], [held], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [zstandard.compress(whole, LEVEL)], [sample]
             ids.clear()
             texts.clear()
             number, held = number + 1, 0
@@ -368,7 +369,7 @@ class Sent:
             for b in np.unique(bucket):
                 chosen = bucket == b
                 # In order, so neighbours share their beginnings and compress well.
-                yield kind, int(b), zstandard.compress(records[chosen].tobytes(), 1), least[chosen].tobytes()
+                yield kind, int(b), zstandard.compress(records[chosen].tobytes(), 3), zstandard.compress(least[chosen].tobytes(), 1)
 
     def removed(self, pack: Pack, answers: list[dict]) -> np.ndarray:
         """The windows that also start in a document with a smaller id."""
@@ -414,7 +415,7 @@ def repeated_rows(suffixes: DataFrame) -> DataFrame:
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         kind, bucket = (k.as_py() for k in key)
         width = LENGTH if kind else RECORD
-        parts = [np.frombuffer(i, np.int64) for i in rows.column("ids").to_pylist()]
+        parts = [np.frombuffer(zstandard.decompress(i), np.int64) for i in rows.column("ids").to_pylist()]
         records = np.concatenate([np.frombuffer(zstandard.decompress(r), np.uint8).reshape(-1, width) for r in rows.column("records").to_pylist()])
         ids = np.concatenate(parts)
         if kind:
