@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from netsentry import rules as R
-
 # The log derived from `events`, as in netsentry.sources.netlog.
 NETLOG = """
 netlog AS (
@@ -269,8 +267,25 @@ _LEVEL = """CASE WHEN risk_score >= 80 OR active_alerts >= 10 OR sqli_live >= 5
   WHEN risk_score >= 30 OR active_alerts > 0 THEN 'MEDIUM' ELSE 'LOW' END"""
 
 
+# Action and reason of each level, and the signals with their batch and live counts. Written here a second
+# time, so that a change on either side shows.
+_RECOMMENDED = (
+    ("CRITICAL", "BLOCK_IP", "Score historique critique ou forte activité live détectée."),
+    ("HIGH", "MONITOR_AND_RATE_LIMIT", "Risque élevé : surveiller activement et limiter le trafic."),
+    ("MEDIUM", "MONITOR", "Score modéré ou activité live récente : garder sous surveillance."),
+    ("LOW", "NO_ACTION", "Aucun signal critique dans les vues actuelles."),
+)
+_SIGNALS = (
+    ("Logs malveillants", "malicious_count", "0"), ("Logs suspects", "suspicious_count", "0"),
+    ("SQLi / SQLMap", "sqli_count", "sqli_live"), ("Scans", "scan_count", "scan_live"), ("XSS", "xss_count", "xss_live"),
+    ("Bruteforce", "bruteforce_count", "bruteforce_live"), ("Exfiltration", "exfiltration_count", "exfiltration_live"),
+    ("Accès fichiers", "file_attack_count", "0"), ("Admin probing", "admin_probe_count", "0"),
+    ("Fichiers sensibles", "sensitive_file_count", "0"), ("Command injection", "command_injection_count", "0"),
+)
+
+
 def _by_level(position: int) -> str:
-    cases = " ".join(f"WHEN '{level}' THEN '{texts[position]}'" for level, texts in R.RECOMMENDATIONS.items())
+    cases = " ".join(f"WHEN '{row[0]}' THEN '{row[position + 1]}'" for row in _RECOMMENDED)
     return f"CASE recommended_level {cases} END"
 
 
@@ -543,7 +558,7 @@ SQL = {
     "ip_combined_totals": f"""{_P} SELECT src_ip, total_alerts_visible, scan_total_visible, sqli_total_visible,
         xss_total_visible FROM profile""",
     "ip_signal_matrix": f"""{_P} SELECT src_ip, signal, batch, live, batch + live AS total FROM (
-        {' UNION ALL '.join(f"SELECT src_ip, '{l}' AS signal, {b} AS batch, {v or '0'} AS live FROM profile" for l, b, v in R.SIGNALS)}
+        {' UNION ALL '.join(f"SELECT src_ip, '{l}' AS signal, {b} AS batch, {v} AS live FROM profile" for l, b, v in _SIGNALS)}
         ) WHERE batch + live >= 1""",
     "ip_relations": f"""{_V} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY relation_risk_score DESC,
         alert_count DESC, dest_ip) AS position FROM pairs) WHERE position <= 30""",
