@@ -51,7 +51,7 @@ WORDS_LATIN = re.compile(
 WORDS = regex.compile(
     rf"{CONTRACTIONS}| ?{LETTER}+| ?{NUMBER}+| ?[[^\s\p{{L}}\p{{N}}][{UNASSIGNED}]]+|\s+(?!\S)|\s+", regex.V1
 )
-MAX_CACHED = 600_000  # entries of each table that a task keeps; a full one starts anew
+MAX_WORDS, MAX_CELLS = 120_000, 100_000  # entries of each table that a worker keeps: some 100 MB in all
 SHORT = 64  # bytes of a word up to which the ends of paths are shared
 PREFIX = 4  # leading bytes that bound the length of an arc
 START = -1  # the state before the first token: every arc leaves it
@@ -77,7 +77,9 @@ class MergeAutomaton:
         for rank, (left, right) in enumerate(merges):
             self._gadget(rank, self.ids[left], self.ids[right], self.ids[left + right])
         self.table: dict[tuple[int, int], bool] = {}
+        # Words and their tokens, in two generations: a full younger one becomes the older.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.ends: dict[tuple[int, bytes], tuple[int, ...] | None] = {}
 
     def _gadget(self, rank: int, left: int, right: int, merged: int) -> None:
@@ -173,15 +175,25 @@ class MergeAutomaton:
     def word(self, word: str) -> tuple[int, ...]:
         """The tokens of a word of a text, kept for when it comes again."""
         found = self.known.get(word)
+        if found is not None:
+            return found
+        found = self.older.get(word)
         if found is None:
-            for kept in (self.known, self.table, self.ends):
-                if len(kept) >= MAX_CACHED:
+            for kept in (self.table, self.ends):
+                if len(kept) >= MAX_CELLS:
                     kept.clear()
             raw = word.encode()
             found = self.spell_from(START, raw) if len(raw) <= SHORT else self.spell(raw)
+        if len(word) <= SHORT:
+            if len(self.known) >= MAX_WORDS:
+                self.known, self.older = {}, self.known
             self.known[word] = found
         return found
 
+    def forget(self) -> None:
+        """Empties the tables of words, ends and cells; they fill again as texts are encoded."""
+        self.known, self.older, self.ends, self.table = {}, {}, {}, {}
+
 
 class Tokenizer:
     """Encodes and decodes as the vocabulary file says (byte-level BPE without prefix space)."""
@@ -212,9 +224,10 @@ class Tokenizer:
             split = WORDS_LATIN
         except UnicodeEncodeError:
             split = WORDS
-        known, word = self.automaton.known, self.automaton.word
+        automaton = self.automaton
+        word = automaton.word
         for piece in split.findall(text):
-            ids += known.get(piece) or word(piece)
+            ids += automaton.known.get(piece) or word(piece)
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -265,5 +278,6 @@ def encode_documents(docs: DataFrame, path: str, full: bool = True, id_column: s
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], fields[: 1 + len(columns)])
+        model.automaton.forget()  # the worker may go on to other work
 
     return docs.select(id_column, docs[text_column].cast("string")).mapInArrow(encoded, schema)
