@@ -1,7 +1,8 @@
 """The corpus pipeline: language identification, exact and near deduplication, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is stored in the shared folder and read back as the
-next one's documents. All but the last give the columns of `documents`.
+next one's documents. All but the last give the columns of `documents`. A stage begins by deleting the intermediate tables
+of the one before it, whose result has been written by then, so that the disk holds those of one stage at a time.
 """
 
 from __future__ import annotations
@@ -12,39 +13,45 @@ from pyspark.sql import functions as F
 from netsentry.llm import language
 from netsentry.llm.bpe import encode_documents
 from netsentry.llm.catalog import vocabulary
-from netsentry.llm.common import stored, table
+from netsentry.llm.common import stage_tables, table
 from netsentry.llm.exact_dedup import exact_dedup
 from netsentry.llm.mixing import mix_documents
 from netsentry.llm.simhash import one_of_each
+from netsentry.session import work_dir
 
 LEAST_SCORE = 0.3  # probability below which no language is accepted
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network is fairly sure of; those without letters go. A missing `lang` is filled."""
-    judged = language.language(docs, language.learn(docs))
-    sure = judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    with stage_tables(spark):
+        judged = language.language(docs, language.learn(docs))
+        sure = judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+        return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts that differ at most in the case of A-Z."""
-    return exact_dedup(docs).filter("kept").select(*docs.columns)
+    with stage_tables(spark):
+        return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked fingerprints."""
-    return one_of_each(docs)
+    with stage_tables(spark):
+        return one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The blocks of tokens that the mix takes of each document; a document taken twice comes twice."""
-    return mix_documents(docs)
+    with stage_tables(spark):
+        return mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the hash of the text that they decode to."""
-    return encode_documents(docs, vocabulary()).drop("decoded")
+    with stage_tables(spark):
+        return encode_documents(docs, vocabulary()).drop("decoded")
 
 
 STAGES = [
@@ -63,5 +70,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+        path = work_dir(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    with stage_tables(spark):
+        return docs

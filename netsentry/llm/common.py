@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsentry.plans.store import delete_folder
 from netsentry.session import work_dir
 
 #: Separators of words: space and the control characters 9 to 13, as a class of regular expressions.
@@ -15,14 +19,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_intermediate: list[str] = []
+_tracking = False
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: computed once, its lineage cut, safe from lost executors."""
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
+    if _tracking:
+        _intermediate.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """A block whose `stored` tables are deleted when the next such block begins: for stages whose result is written
+    before the next stage. Tables stored outside of such blocks stay."""
+    global _tracking
+    while _intermediate:
+        delete_folder(spark, _intermediate.pop())
+    _tracking = True
+    try:
+        yield
+    finally:
+        _tracking = False
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, or `name` with underscores before it if the frame has such a column already (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

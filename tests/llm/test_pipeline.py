@@ -19,11 +19,13 @@ def lower(text):
 
 
 def stages(pipeline, spark, docs, folder):
-    from netsentry.llm.common import stored
+    from netsentry.session import work_dir
 
     out = []
     for name, stage in pipeline.STAGES:
-        docs = stored(stage(spark, docs, folder), name)
+        path = work_dir(spark, name)
+        stage(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
         out.append((name, docs))
     return out
 
