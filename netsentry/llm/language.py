@@ -218,17 +218,18 @@ def language(docs: DataFrame, model: Model | None, text_column: str = "text") ->
     """
 
     def judge(text: pa.Array) -> pa.Array:
-        texts = [t if t and any(map(str.isalpha, t)) else "" for t in text.to_pylist()]
-        labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if model is not None:
-            for at in range(0, len(texts), 1_000):
-                found = predict(model, [t.encode() for t in texts[at : at + 1_000]])
-                for k, best in enumerate(found.argmax(axis=0)):
-                    if texts[at + k]:
-                        labels[at + k], scores[at + k] = model.labels[best], min(1.0, float(found[best, k]))
+        labels, scores = [UNKNOWN] * len(text), [0.0] * len(text)
+        for at in range(0, len(text) if model is not None else 0, 1_000):
+            texts = [t if t and any(map(str.isalpha, t)) else "" for t in text.slice(at, 1_000).to_pylist()]
+            found = predict(model, [t.encode() for t in texts])
+            for k, best in enumerate(found.argmax(axis=0)):
+                if texts[k]:
+                    labels[at + k], scores[at + k] = model.labels[best], min(1.0, float(found[best, k]))
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
+    # Marked so that a filter on the result does not run the network a second time.
+    judge_once = F.arrow_udf(judge, "lang_pred string, score double").asNondeterministic()
     judged = free_name(docs, "judged")
     names = free_name(docs, "lang_pred"), free_name(docs, "score")
-    rows = docs.withColumn(judged, F.arrow_udf(judge, "lang_pred string, score double")(F.col(text_column).cast("string")))
+    rows = docs.withColumn(judged, judge_once(F.col(text_column).cast("string")))
     return rows.withColumn(names[0], F.col(judged)["lang_pred"]).withColumn(names[1], F.col(judged)["score"]).drop(judged)
