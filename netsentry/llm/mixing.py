@@ -213,11 +213,15 @@ def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last", "times")).alias("__spans"))
 
     def cut(text: pa.Array, taken: pa.Array) -> pa.Array:
-        out = []
-        for value, rows in zip(text.to_pylist(), taken.to_pylist()):
-            spans = [(r["first"], r["last"], r["times"]) for r in rows]
-            out.append([cut_text(value, spans, k) for k in range(1, max(s[2] for s in spans) + 1)])
-        return pa.array(out, pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        parts = [pa.array([], kind)]
+        for at in range(0, len(text), 200):  # so that few texts are held more than once
+            out = []
+            for value, rows in zip(text.slice(at, 200).to_pylist(), taken.slice(at, 200).to_pylist()):
+                spans = [(r["first"], r["last"], r["times"]) for r in rows]
+                out.append([cut_text(value, spans, k) for k in range(1, max(s[2] for s in spans) + 1)])
+            parts.append(pa.array(out, kind))
+        return pa.concat_arrays(parts)
 
     texts = F.arrow_udf(cut, "array<string>")(F.col("text").cast("string"), F.col("__spans"))
     mixed = keyed_docs.join(spans.withColumnRenamed("row", "__row"), F.col(row) == F.col("__row"))

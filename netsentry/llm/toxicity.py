@@ -296,17 +296,20 @@ def toxicity(docs: DataFrame, model: Model | None, text_column: str = "text") ->
     """
 
     def judge(text: pa.Array) -> pa.Array:
-        texts = [t or "" for t in text.to_pylist()]
         if model is None:
-            return pa.array([0.0] * len(texts), pa.float64())
-        parts, at = [np.zeros(0)], 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) < 400_000):
-                chars += len(texts[end])
-                end += 1
-            parts.append(model.score(texts[at:end]))
-            at = end
+            return pa.array([0.0] * len(text), pa.float64())
+        parts: list[np.ndarray] = [np.zeros(0)]
+        held: list[str] = []
+        chars = 0
+        for value in text:
+            one = value.as_py() or ""
+            if held and chars + len(one) > 400_000:
+                parts.append(model.score(held))
+                held, chars = [], 0
+            held.append(one)
+            chars += len(one)
+        if held:
+            parts.append(model.score(held))
         return pa.array(np.concatenate(parts), pa.float64())
 
     score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
