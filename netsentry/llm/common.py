@@ -19,6 +19,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
 _intermediate: list[str] = []
 _tracking = False
 
@@ -36,8 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def stage_tables(spark: SparkSession) -> Iterator[None]:
     """A block whose `stored` tables are deleted when the next such block begins: for stages whose result is written
-    before the next stage. Tables stored outside of such blocks stay."""
+    before the next stage. Tables stored outside of such blocks stay.
+
+    From then on the session's Arrow batches have BATCH_ROWS rows at most: the default of 10,000 whole texts, held by the
+    JVM and by each of its Python workers, is more than a small executor has.
+    """
     global _tracking
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     while _intermediate:
         delete_folder(spark, _intermediate.pop())
     _tracking = True
