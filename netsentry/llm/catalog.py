@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsentry.llm import language, toxicity
+from netsentry.llm import language, statements, toxicity
 from netsentry.llm.bpe import encode_documents
 from netsentry.llm.common import table
 from netsentry.llm.exact_dedup import exact_dedup
+from netsentry.llm.merkle import audited
 from netsentry.llm.mixing import mix_counts
+from netsentry.llm.phrases import remove_phrases
 from netsentry.llm.pii import find_pii
+from netsentry.llm.prefix_trie import prefix_trie, rebuilt, turn_rows
 from netsentry.llm.quality import quality
 from netsentry.llm.simhash import simhash_classes
 from netsentry.llm.suffix_dedup import remove_repeats
@@ -77,6 +80,19 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), full=False)
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return audited(docs, F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(*rebuilt(turn_rows(table(spark, folder, "conversations"))))
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_phrases(table(spark, folder, "documents").select("doc_id", "text"), full=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -88,6 +104,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle": op11_merkle,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_phrases": op13_phrases,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,4 +145,7 @@ SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM d""",
+    "op11_merkle": statements.MERKLE,
+    "op12_prefix_trie": statements.TRIE,
+    "op13_phrases": statements.PHRASES,
 }
