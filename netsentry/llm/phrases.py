@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -80,11 +81,16 @@ class Words:
         self.firsts = np.searchsorted(starts, per_byte[first])  # each document's first word
         self.counts = np.diff(np.append(self.firsts, len(starts)))
         self.at = starts + np.arange(len(starts))  # where a word begins in `text`
-        text = np.full(len(letters) + len(starts), 32, np.uint8)
-        text[np.arange(len(letters)) + np.repeat(np.arange(len(starts)), self.sizes)] = letters
-        self.text = text
+        self.letters = letters
         self._hash(letters, starts)
 
+    @cached_property
+    def text(self) -> np.ndarray:
+        """All words, each followed by one space."""
+        text = np.full(len(self.letters) + len(self.sizes), 32, np.uint8)
+        text[np.arange(len(self.letters)) + np.repeat(np.arange(len(self.sizes)), self.sizes)] = self.letters
+        return text
+
     def _hash(self, letters: np.ndarray, starts: np.ndarray) -> None:
         """Anchors (`anchor`, `owner`) with their runs of windows (`low` to `high`) and gram hashes (`keys`)."""
         self.anchor = self.owner = self.low = self.high = np.zeros(0, np.int64)
@@ -270,42 +276,46 @@ def later_windows(texts: list[bytes], ids: np.ndarray, places: np.ndarray, ancho
     """For each passage the windows (bit k: the one that starts k words in) that also start earlier among the passages.
 
     `ids` and `places` tell where a passage's first window starts, `anchors` how many words in its gram does."""
-    lines, width = coded(texts, plane)
+    numbers: dict[bytes, int] = {}
+    which = np.fromiter((numbers.setdefault(t, len(numbers)) for t in texts), np.int64, len(texts))
+    often = np.bincount(which)
+    # The first occurrence of each text; a phrase in it is first there or in another text.
+    order = np.lexsort((places, ids, which))
+    heads = order[np.nonzero(np.diff(which[order], prepend=-1))[0]]
+    lines, width = coded(list(numbers), plane)
     window = WINDOW * width
-    grams = [line[a * width : (a + GRAM) * width] for line, a in zip(lines, anchors)]
-    often = Counter(lines)
-    passages = Counter(gram for _, gram in {(line, gram) for line, gram in zip(lines, grams)})
+    grams = [line[anchors[k] * width : (anchors[k] + GRAM) * width] for line, k in zip(lines, heads.tolist())]
+    passages = Counter(grams)
     windows: Counter[str] = Counter()
     phrases = set()
-    for line, gram in set(zip(lines, grams)):
+    for line, gram, count in zip(lines, grams, often.tolist()):
         if passages[gram] > 1:
             for k in range(0, len(line) - window + 1, width):
-                windows[line[k : k + window]] += often[line]
-        elif often[line] > 1:
+                windows[line[k : k + window]] += count
+        elif count > 1:
             phrases.add(line)
     phrases.update(w for w, n in windows.items() if n > 1)
-    masks = np.zeros(len(lines), np.uint16)
     if not phrases:
-        return masks
+        return np.zeros(len(texts), np.uint16)
     automaton = ahocorasick.Automaton()
-    lengths = []
     for number, phrase in enumerate(phrases):
         automaton.add_word(phrase, number)
-        lengths.append(len(phrase))
     automaton.make_automaton()
+    lengths = np.fromiter(map(len, phrases), np.int64, len(phrases))
     hits = [(number, row, end) for row, line in enumerate(lines) for end, number in automaton.iter(line)]
     number, row, end = np.array(hits, np.int64).reshape(-1, 3).T
-    length = np.array(lengths, np.int64)[number]
-    offset = (end + 1 - length) // width
-    starts = places[row] + offset
-    order = np.lexsort((starts, ids[row], number))
-    new = np.ones(len(order), bool)
-    new[1:] = number[order][1:] != number[order][:-1]
-    first = order[np.nonzero(new)[0]][np.cumsum(new) - 1]  # of each phrase, in order
-    later = order[(ids[row][order] != ids[row][first]) | (starts[order] != starts[first])]
-    bits = ((1 << (length[later] // width - WINDOW + 1)) - 1) << offset[later]
-    np.bitwise_or.at(masks, row[later], bits.astype(np.uint16))
-    return masks
+    offset = (end + 1 - lengths[number]) // width
+    bits = ((1 << (lengths[number] // width - WINDOW + 1)) - 1) << offset
+    every, rest = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+    np.bitwise_or.at(every, row, bits)
+    own, starts = ids[heads][row], places[heads][row] + offset
+    order = np.lexsort((starts, own, number))
+    new = np.nonzero(np.diff(number[order], prepend=-1))[0]
+    first = np.repeat(order[new], np.diff(np.append(new, len(order))))  # of each phrase, in order
+    later = order[(own[order] != own[first]) | (starts[order] != starts[first])]
+    np.bitwise_or.at(rest, row[later], bits[later])
+    is_head = (ids == ids[heads][which]) & (places == places[heads][which])
+    return np.where(is_head, rest[which], every[which]).astype(np.uint16)
 
 
 def marked_rows(phrases: DataFrame) -> DataFrame:
