@@ -39,8 +39,8 @@ def _matched(logs: DataFrame) -> DataFrame:
     return typed.filter(F.col("alert_type").isNotNull()).drop("_agent", "_path")
 
 
-def _shaped(df: DataFrame, schema, **columns: Column) -> DataFrame:
-    return df.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+def _shaped(df: DataFrame, schema, keep: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    return df.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in schema.fields], *keep)
 
 
 def signature(logs: DataFrame) -> DataFrame:
@@ -208,11 +208,12 @@ def all_alerts(logs: DataFrame) -> DataFrame:
     return signature(logs).unionByName(activity(logs))
 
 
-def live_signature(logs: DataFrame) -> DataFrame:
-    """Live form of `signature`, for batch and stream. Stateless."""
+def live_signature(logs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Live form of `signature`, for batch and stream, with the log's columns `keep` behind. Stateless."""
     return _shaped(
         _matched(logs),
         LIVE_ALERT_SCHEMA,
+        keep,
         src_ip=F.col("source_ip"),
         dest_ip=F.col("dest_ip"),
         protocol=F.col("protocol"),

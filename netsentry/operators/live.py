@@ -11,11 +11,12 @@ from netsentry.rules import LIVE_RETENTION_HOURS, VOLUME_MIN_BYTES
 from netsentry.schema import LIVE_TABLE_SCHEMA
 
 
-def stored(alerts: DataFrame, inserted_at: Column | None = None) -> DataFrame:
+def stored(alerts: DataFrame, inserted_at: Column | None = None, message: tuple[str, ...] = ()) -> DataFrame:
     """Live alerts in their stored form, `LIVE_TABLE_SCHEMA`.
 
     Missing text becomes `-` and a missing event time the insert time. The id is a hash of the alert, so a retried
-    write produces the same id again.
+    write produces the same id again. With the columns `message`, which tell one log message from another (its sender's
+    `position`), in the hash, two equal events are two alerts, and an event that is sent again is the same one.
     """
     now = F.current_timestamp() if inserted_at is None else inserted_at
     rows = alerts.withColumn("inserted_at", now).select(
@@ -29,9 +30,10 @@ def stored(alerts: DataFrame, inserted_at: Column | None = None) -> DataFrame:
         F.coalesce("event_time", "inserted_at").alias("event_time"),
         text_cell(F.col("protocol")).alias("protocol"),
         text_cell(F.col("user_agent")).alias("user_agent"),
+        *message,
     )
     identity = ("source_ip", "dest_ip", "protocol", "user_agent", "request_path", "alert_type", "count_value", "event_time")
-    return rows.withColumn("alert_id", identity_hash(*identity)).select(*LIVE_TABLE_SCHEMA.fieldNames())
+    return rows.withColumn("alert_id", identity_hash(*identity, *message)).select(*LIVE_TABLE_SCHEMA.fieldNames())
 
 
 def replay(logs: DataFrame, volume_threshold: int = VOLUME_MIN_BYTES) -> DataFrame:

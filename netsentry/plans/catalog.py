@@ -15,7 +15,7 @@ from netsentry.functions.score import attack_counts_text, dominant_attack, relat
 from netsentry.functions.text import number_or_zero
 from netsentry.operators import detect, enrich, live
 from netsentry.operators.rollup import rollup
-from netsentry.plans import batch, serving, store, views
+from netsentry.plans import batch, delivery, serving, store, views
 from netsentry.schema import LOG_COLUMNS
 from netsentry.session import work_dir
 from netsentry.sources import archive, logs
@@ -529,7 +529,6 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "live_feed_page": lambda i: serving.live_feed_page(i.live(), DAY, page=3),
     "risk_distribution": lambda i: serving.risk_distribution(i.reputation()),
     "reputation_with_last_live": reputation_with_last_live,
-    "reputation_with_last_live_all": reputation_with_last_live,
     "ip_profile": lambda i: i.profile(),
     "ip_profile_one": ip_profile_one,
     "ip_profile_fallback": ip_profile_fallback,
@@ -542,7 +541,6 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "ip_signal_matrix": lambda i: serving.signal_matrix(i.profile()),
     "ip_relations": lambda i: serving.ip_relations(views.attacker_victim_stats(i.rollup(), limit=None)),
-    "ip_relations_all": lambda i: serving.ip_relations(views.attacker_victim_stats(i.rollup(), limit=None)),
     "ip_top_types": lambda i: serving.ip_top_types(views.ip_attack_types(i.rollup())),
     "ip_recent_history": lambda i: serving.ip_recent_history(views.ip_historical_alerts(i.alerts(), limit=None)),
     "analytics_kpis": analytics_kpis,
@@ -550,6 +548,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "global_bundle": lambda i: serving.top_lists(_views(i), serving.BUNDLE_LISTS),
     "timeline_last_24": lambda i: serving.timeline_tail(views.threat_timeline(i.alerts())),
     "sort_text_numeric": sort_text_numeric,
+    # streams over several micro-batches
+    **delivery.QUERIES,
 }
 
 

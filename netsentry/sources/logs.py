@@ -31,8 +31,12 @@ def read_log_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     )
 
 
-def encode_json(logs: DataFrame) -> DataFrame:
-    """Keyed messages: `key` is the source IP, `value` the JSON of the ten fields, all text but the bytes."""
+def encode_json(logs: DataFrame, position: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keyed messages: `key` is the source IP, `value` the JSON of the ten fields, all text but the bytes.
+
+    With `position` they carry, beside the value, the sender's number of the message, which stays the same when a message
+    is sent again.
+    """
     fields = [
         F.col(name).cast("int" if isinstance(LOG_SCHEMA[name].dataType, T.IntegerType) else "string").alias(name)
         for name in LOG_COLUMNS
@@ -40,6 +44,8 @@ def encode_json(logs: DataFrame) -> DataFrame:
     return logs.select(
         F.col("source_ip").cast("string").alias("key"),
         F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"),
+        *([F.col(position).cast("bigint").alias("position")] if position else []),
+        *keep,
     )
 
 
@@ -56,6 +62,32 @@ def rejects(raw: DataFrame, value: str = "value") -> DataFrame:
     return parsed.agg(F.count("*").alias("messages"), F.count_if(empty).alias("rejected"))
 
 
+# Why a message is in quarantine, in the order of the tests.
+EMPTY, MALFORMED, MISTYPED, FOREIGN = "no value", "not a JSON object", "a field of another type", "no known field"
+
+
+def rejected(raw: DataFrame, value: str = "value", keep: tuple = ()) -> DataFrame:
+    """The messages that cannot be read in full, as they came: `keep`, `value` and the `reason`. Works on batch and stream.
+
+    A message with a field of another type is read by `parse_json`, too, with null in that field; of the others it reads
+    nulls only.
+    """
+    schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("_unread", T.StringType())])
+    text = F.col(value).cast("string")
+    read = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    rows = raw.select(*keep, text.alias(value), read.alias("data"))
+    nothing = F.coalesce(*[F.col(f"data.{name}").cast("string") for name in LOG_COLUMNS]).isNull()
+    blank = F.col(value).isNull() | (F.btrim(F.col(value)) == "")
+    # The reader reports a wrong type and a wrong syntax alike; what is an object has its text parsed without a schema.
+    is_object = F.try_parse_json(F.col(value)).isNotNull() & F.btrim(F.col(value)).startswith("{")
+    reason = (
+        F.when(blank, EMPTY)
+        .when(F.col("data._unread").isNotNull(), F.when(is_object, MISTYPED).otherwise(MALFORMED))
+        .when(nothing, F.when(is_object, FOREIGN).otherwise(MALFORMED))
+    )
+    return rows.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(*keep, value, "reason")
+
+
 def with_event_time(logs: DataFrame) -> DataFrame:
     """Adds `event_time`: its own value where present and readable, else the parsed `timestamp` text."""
     candidates: list[Column] = []
@@ -151,9 +183,18 @@ def stream_kafka(
     return reader.load().select(F.col("key").cast("string"), F.col("value").cast("string"))
 
 
-def stream_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The same stream from a folder of JSON-line files with `key` and `value`, where there is no broker."""
-    reader = spark.readStream.schema("key string, value string")
+def stream_messages(spark: SparkSession, path: str, max_files: int | None = None, position: bool = False) -> DataFrame:
+    """The same stream from a folder of JSON-line files with `key` and `value`, and with `position` where the sender
+    numbers its messages; where there is no broker. `max_files` bounds the files of a micro-batch."""
+    reader = spark.readStream.schema("key string, value string" + (", position bigint" if position else ""))
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path)
+
+
+def deliver(messages: DataFrame, batch: str, batches: range, path: str, files: int = 1) -> None:
+    """Appends the messages to a folder of JSON-line files, one batch after the other: those with the first number in the
+    column `batch`, then the next. A stream of the folder that takes `files` files at a time sees each batch as one
+    micro-batch."""
+    for number in batches:
+        messages.filter(F.col(batch) == number).drop(batch).repartition(files).write.mode("append").json(path)

@@ -1,8 +1,9 @@
-"""The two streaming jobs: archive and alerts."""
+"""The streaming jobs: archive, alerts, quarantine, and what they share with several micro-batches in mind."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from netsentry.operators.live import stored
 from netsentry.rules import LIVE_RETENTION_HOURS, VOLUME_MIN_BYTES
 from netsentry.schema import ARCHIVE_PARTITIONS, LIVE_TABLE_SCHEMA
 from netsentry.session import STREAM_SETTINGS
-from netsentry.sources.logs import normalize, parse_json, with_date_parts, with_event_time
+from netsentry.sources.logs import normalize, parse_json, rejected, with_date_parts, with_event_time
 
 # Triggers and watermarks.
 ARCHIVE_TRIGGER = {"processingTime": "1 minute"}
@@ -26,9 +27,35 @@ LIVE_FILE_RETENTION = f"{2 * LIVE_RETENTION_HOURS}h"
 DETECTORS = ("signature", "repeated_blocked", "volume")
 
 
-def parse_stream(messages: DataFrame) -> DataFrame:
-    """Normalized log events of a message stream with `event_time`; unreadable messages and times give nulls."""
-    return normalize(with_event_time(parse_json(messages)))
+def parse_stream(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Normalized log events of a message stream with `event_time`; unreadable messages and times give nulls. The columns
+    `keep` of the messages (their `position`) stay."""
+    return normalize(with_event_time(parse_json(messages, keep=keep)))
+
+
+def once_each(logs: DataFrame, delay: str = VOLUME_WATERMARK, message: tuple[str, ...] = ("position",)) -> DataFrame:
+    """Every message once, however often it is sent, and none that is later than the watermark.
+
+    A message is told by the columns `message`, so equal events of different messages stay apart. The state keeps a
+    message for `delay` of event time; one that is sent again after that is late and dropped as such. Rows are late when
+    they are not newer than the watermark of the micro-batch before: the newest event time up to the second last one, less
+    `delay`. Windowed sums behind it need no watermark of their own and drop no further rows.
+    """
+    return logs.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(message))
+
+
+def batch_progress(query: StreamingQuery) -> list[dict]:
+    """Of each micro-batch with input: `batch`, `rows`, `late_rows` (dropped behind the watermark) and `again` (dropped
+    because the message had been seen), from the state operators' own counts. Spark keeps the last hundred batches, see
+    `spark.sql.streaming.numRecentProgressUpdates`."""
+    found = []
+    for progress in query.recentProgress:
+        if progress["numInputRows"]:
+            operators = progress["stateOperators"]
+            again = sum((o.get("customMetrics") or {}).get("numDroppedDuplicateRows", 0) for o in operators)
+            late = sum(o["numRowsDroppedByWatermark"] for o in operators)
+            found.append({"batch": progress["batchId"], "rows": progress["numInputRows"], "late_rows": late, "again": again})
+    return found
 
 
 def start_archive(
@@ -115,6 +142,60 @@ def start_alert(
         return writer.start()
 
 
+def start_batches(
+    rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, before_commit: Callable[[int], None] | None = None
+) -> StreamingQuery:
+    """Writes each micro-batch as a folder of its own, named by its number.
+
+    A micro-batch that is repeated after a failure has the same number and the same input, so it replaces what its first
+    run left, whole or in part; nothing is written twice. `before_commit` is called with the number between the write and
+    the commit: a place for a notice to others, and for a test's failure.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if before_commit is not None:
+            before_commit(number)
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or ALERT_TRIGGER))
+    with stream_settings(rows.sparkSession):
+        return writer.start()
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All micro-batches that `start_batches` has written, with their number in `batch`."""
+    return spark.read.parquet(path)
+
+
+def start_quarantine(
+    messages: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keep: tuple[str, ...] = ("key",)
+) -> StreamingQuery:
+    """Appends the messages that cannot be read, with the reason, beside the jobs that read the others."""
+    return (
+        rejected(messages, keep=keep)
+        .withColumn("rejected_at", F.current_timestamp())
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .partitionBy("reason")
+        .outputMode("append")
+        .trigger(**(trigger or ARCHIVE_TRIGGER))
+        .start()
+    )
+
+
+def stop_after(query: StreamingQuery, batches: int, seconds: float = 600) -> None:
+    """Stops a query once it has finished so many micro-batches, wherever it is in the next one; a query that ends before
+    has done all its work."""
+    until = time.monotonic() + seconds
+    while query.isActive and len([p for p in query.recentProgress if p["numInputRows"]]) < batches:
+        if time.monotonic() > until:
+            query.stop()
+            raise TimeoutError(f"{batches} micro-batches took more than {seconds} s")
+        query.awaitTermination(0.05)
+    query.stop()
+
+
 def start_alerts(
     logs: DataFrame,
     path: str,

@@ -530,9 +530,6 @@ SQL = {
     "reputation_with_last_live": f"""{_P} SELECT r.src_ip, risk_score, risk_level, total_alerts,
         {text_time('last_live')} FROM ip_reputation r LEFT JOIN (SELECT source_ip AS src_ip, max(inserted_at) AS last_live
         FROM today GROUP BY source_ip) l ON r.src_ip = l.src_ip""",
-    "reputation_with_last_live_all": f"""{_P} SELECT r.src_ip, risk_score, risk_level, total_alerts,
-        {text_time('last_live')} FROM ip_reputation r LEFT JOIN (SELECT source_ip AS src_ip, max(inserted_at) AS last_live
-        FROM today GROUP BY source_ip) l ON r.src_ip = l.src_ip""",
     "ip_profile": f"{_P} SELECT * FROM profile",
     "ip_profile_one": f"{_P} SELECT * FROM profile WHERE src_ip = '185.10.10.5'",
     "ip_profile_fallback": f"""{_P}, half AS (SELECT * FROM ip_reputation WHERE CAST(split_part(src_ip, '.', -1) AS INTEGER) % 2 = 0)
@@ -562,8 +559,6 @@ SQL = {
         ) WHERE batch + live >= 1""",
     "ip_relations": f"""{_V} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY relation_risk_score DESC,
         alert_count DESC, dest_ip) AS position FROM pairs) WHERE position <= 30""",
-    "ip_relations_all": f"""{_V} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY relation_risk_score DESC,
-        alert_count DESC, dest_ip) AS position FROM pairs) WHERE position <= 30""",
     "ip_top_types": f"""{_V} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY alert_count DESC,
         alert_type) AS position FROM ip_attack_types) WHERE position <= 50""",
     "ip_recent_history": f"""{_V} SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time,
@@ -592,3 +587,42 @@ SQL = {
         SELECT row_key, risk_score, coalesce(TRY_CAST(risk_score AS DOUBLE), 0) AS number FROM cells
         ORDER BY number DESC, row_key LIMIT 100""",
 }
+
+# Messages that arrive in eight batches: every 13th two batches late, every 29th once more in the batch after.
+_ARRIVALS = """arrivals AS (
+SELECT * EXCLUDE (first), unnest(CASE WHEN event_id % 29 = 0 THEN [first, least(first + 1, 7)] ELSE [first] END) AS batch FROM (
+    SELECT *, least((event_id - min(event_id) OVER ()) * 8 // (max(event_id) OVER () - min(event_id) OVER () + 1)
+                    + CASE WHEN event_id % 13 = 0 THEN 2 ELSE 0 END, 7) AS first FROM logs)),
+-- Late rows are told by the watermark of the batch before, which knows the batches up to the second last.
+marks AS (SELECT b.batch, coalesce(max(a.event_time) - INTERVAL 30 SECOND, TIMESTAMP '1970-01-01') AS mark
+    FROM (SELECT unnest(range(8)) AS batch) b LEFT JOIN arrivals a ON a.batch <= b.batch - 2 GROUP BY b.batch),
+timely AS (SELECT a.*, event_time <= mark AS late FROM arrivals a JOIN marks USING (batch))"""
+_SIGNED = f"(SELECT *, {SIGNATURE} AS alert_type FROM logs)"
+_REASONS = """CASE event_id % 23 WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'no value' WHEN 2 THEN 'no value'
+    WHEN 3 THEN 'no known field' WHEN 4 THEN 'a field of another type' WHEN 5 THEN 'not a JSON object' END"""
+
+SQL |= {
+    "stream_late_rows": f"""{_with(NETLOG, LOGS, _ARRIVALS)} SELECT CAST(batch AS BIGINT) AS batch, count(*) AS messages,
+        count(*) FILTER (late) AS late_rows FROM timely GROUP BY batch""",
+    "stream_late_windows": f"""{_with(NETLOG, LOGS, _ARRIVALS)},
+        kept AS (SELECT DISTINCT ON (event_id) * FROM timely WHERE NOT late)
+        SELECT source_ip AS src_ip, protocol, CAST(sum(bytes_transferred) AS BIGINT) AS count_value,
+          {text_time('make_timestamp((epoch_us(event_time) // 10000000 * 10 + 10) * 1000000)', 'event_time')} FROM kept
+        GROUP BY source_ip, protocol, epoch_us(event_time) // 10000000 HAVING sum(bytes_transferred) > {LIVE_VOLUME_BYTES}
+          AND make_timestamp((epoch_us(any_value(kept.event_time)) // 10000000 * 10 + 10) * 1000000)
+              <= (SELECT max(event_time) FROM logs) - INTERVAL 30 SECOND""",
+    "stream_dual_delivery": f"""{_with(NETLOG, LOGS)} SELECT 'archive' AS job, count(*) AS due, count(*) AS delivered,
+          CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS strange, CAST(0 AS BIGINT) AS doubled FROM logs
+        UNION ALL SELECT 'alerts', count(*), count(*), 0, 0, 0 FROM {_SIGNED} WHERE alert_type IS NOT NULL""",
+    "stream_retry": f"""{_with(NETLOG, LOGS)} SELECT alert_type, count(*) AS alerts, count(*) AS ids FROM {_SIGNED}
+        WHERE alert_type IS NOT NULL AND event_id % 29 <> 0 GROUP BY alert_type""",
+    "stream_alert_identity": f"""{_with(NETLOG, LOGS)} SELECT alert_type,
+          count(*) + count(*) FILTER (event_id % 11 = 0) AS alerts, count(*) + count(*) FILTER (event_id % 11 = 0) AS ids
+        FROM {_SIGNED} WHERE alert_type IS NOT NULL GROUP BY alert_type""",
+    "rejected_messages": f"""{_with(NETLOG)}, spoiled AS (SELECT event_id AS position, {_REASONS} AS reason,
+          CASE event_id % 23 WHEN 0 THEN 10 WHEN 1 THEN 1 WHEN 3 THEN 12 WHEN 5 THEN 6 WHEN 4 THEN
+            length(to_json(struct_pack(timestamp, source_ip, dest_ip, protocol, action, threat_label, log_type,
+                                       bytes_transferred := 'many', user_agent, request_path))) END AS length FROM netlog)
+        SELECT reader, position, reason, CAST(length AS BIGINT) AS length
+        FROM spoiled CROSS JOIN (VALUES ('batch'), ('stream')) AS readers(reader) WHERE reason IS NOT NULL""",
+}

@@ -30,7 +30,7 @@ def test_query_equals_sql(spark, con, name):
     assert difference(spark, con, QUERIES[name], SQL[name], FOLDER) is None
 
 
-@pytest.mark.parametrize("name", ["ip_reputation", "ip_profile", "live_kpis", "reputation_with_last_live_all", "analytics_lists", "ip_profile_one", "ip_one"])
+@pytest.mark.parametrize("name", ["ip_reputation", "ip_profile", "live_kpis", "analytics_lists", "ip_profile_one", "ip_one"])
 def test_no_cross_join_and_no_python_in_the_plan(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
