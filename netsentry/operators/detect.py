@@ -195,12 +195,37 @@ def activity(
     same columns and filter nothing before, so Spark shuffles the panes once and reads that shuffle twice.
     """
     _check_panes(size, slide)
-    blocked_at = F.when(F.col("action") == "blocked", F.col(time_col))
-    panes = _panes(logs, blocked_at, slide)
-    windows = _full_windows(panes, size, slide, min_events).filter(F.col("window_start").isNotNull())
+    panes = activity_panes(logs, time_col, slide)
+    return _blocked_alert(blocked_windows(panes, size, slide, min_events)).unionByName(volume_from_panes(panes, min_bytes))
+
+
+def activity_panes(logs: DataFrame, time_col: str = "archived_at", slide: int = BLOCKED_SLIDE_SECONDS) -> DataFrame:
+    """Events, bytes and last times per source, protocol and pane of blocked events; all other traffic in a null pane."""
+    return _panes(logs, F.when(F.col("action") == "blocked", F.col(time_col)), slide)
+
+
+def merged_panes(panes: DataFrame) -> DataFrame:
+    """Panes of several parts of the logs as those of all of them."""
+    return panes.groupBy("source_ip", "protocol", "pane").agg(*_totals())
+
+
+def blocked_windows(
+    panes: DataFrame,
+    size: int = BLOCKED_WINDOW_SECONDS,
+    slide: int = BLOCKED_SLIDE_SECONDS,
+    threshold: int = REPEATED_BLOCKED_MIN_EVENTS,
+) -> DataFrame:
+    """The windows with enough blocked events, with `window_start` in seconds and their sums."""
+    return _full_windows(panes, size, slide, threshold).filter(F.col("window_start").isNotNull())
+
+
+def blocked_from_windows(windows: DataFrame) -> DataFrame:
+    return _blocked_alert(windows)
+
+
+def volume_from_panes(panes: DataFrame, threshold: int = VOLUME_MIN_BYTES) -> DataFrame:
     totals = panes.groupBy("source_ip", "protocol").agg(*_totals())
-    volumes = totals.filter((F.col("bytes") > min_bytes) & (F.col("events") > 0))
-    return _blocked_alert(windows).unionByName(_volume_alert(volumes))
+    return _volume_alert(totals.filter((F.col("bytes") > threshold) & (F.col("events") > 0)))
 
 
 def all_alerts(logs: DataFrame) -> DataFrame:

@@ -33,6 +33,13 @@ def rollup(alerts: DataFrame) -> DataFrame:
     return sums.withColumn("attack_category", attack_category(F.col("alert_type")))
 
 
+def merged_rollup(parts: DataFrame) -> DataFrame:
+    """Rollups of several parts of the alerts as the rollup of all of them: every measure is a sum, minimum or maximum."""
+    sums = [F.sum(c).alias(c) for c in ("alerts", "malicious", "suspicious", "blocked", "bytes")]
+    times = [(F.min if c.startswith("first") else F.max)(c).alias(c) for c in ("first_event", "last_event", "first_archived", "last_archived")]
+    return parts.groupBy(*ROLLUP_KEYS, "attack_category").agg(*sums, *times).select(*[c for c in parts.columns if c != "part"])
+
+
 def indicator_totals(names: tuple[str, ...]) -> list[Column]:
     """Indicator sums `<name>_count` over rollup rows."""
     totals = []

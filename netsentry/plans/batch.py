@@ -20,11 +20,16 @@ def refresh_views(logs: DataFrame, path: str) -> str:
     version = new_version()
     alerts = materialize(all_alerts(logs), "alerts", f"{path}/alerts/version={version}")
     rolled = materialize(rollup(alerts), "rollup", f"{path}/rollup/version={version}")
+    write_all_views(alerts, rolled, path, version)
+    publish(spark, path, version)
+    return version
+
+
+def write_all_views(alerts: DataFrame, rolled: DataFrame, path: str, version: str) -> None:
+    """Writes one version of the ten views, unpublished."""
     views = all_views(alerts, rolled)
     del views["high_risk_ips"]
     for name, view in views.items():
         write_view(name, view, path, version)
-    reputation = read_view(spark, path, "ip_reputation", version).drop("row_key")
+    reputation = read_view(alerts.sparkSession, path, "ip_reputation", version).drop("row_key")
     write_view("high_risk_ips", high_risk_ips(reputation, limit=None), path, version)
-    publish(spark, path, version)
-    return version

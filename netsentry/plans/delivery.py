@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from netsentry.operators import detect, live
+from netsentry.plans import store
+from netsentry.plans.incremental import files_read, refresh_incremental
 from netsentry.session import work_dir
 from netsentry.sources import archive, logs
 from netsentry.streaming import jobs
@@ -207,7 +209,39 @@ def rejected_messages(i) -> DataFrame:
     return by_batch.select(F.lit("batch").alias("reader"), *columns).unionByName(by_stream.select(F.lit("stream").alias("reader"), *columns))
 
 
+ARCHIVE_PARTS = 3  # deliveries of the archive, each followed by a refresh
+
+
+def _refreshed(i, path: str) -> None:
+    """The archive written in deliveries, some of its events a delivery late, and the views refreshed after each."""
+    rows = logs.prepare(i.raw_logs())
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    low, high = low or 0, high or 0
+    share = F.expr(f"(event_id - {low}) * {ARCHIVE_PARTS} div {high - low + 1}")
+    part = F.least(F.when(_every(LATE_EVERY), share + 1).otherwise(share), F.lit(ARCHIVE_PARTS - 1))
+    for number in range(ARCHIVE_PARTS):
+        archive.write_archive(rows.filter(part == number), f"{path}/archive", files_per_write=1)
+        refresh_incremental(i.spark, f"{path}/archive", f"{path}/views")
+
+
+def views_incremental(i) -> DataFrame:
+    """The reputation after three incremental refreshes, from the view store."""
+    path = work_dir(i.spark, "incremental")
+    _refreshed(i, path)
+    return store.read_view(i.spark, f"{path}/views", "ip_reputation").drop("row_key")
+
+
+def incremental_reads(i) -> DataFrame:
+    """What each of the three refreshes has read of the archive: its new files only."""
+    path = work_dir(i.spark, "incremental")
+    _refreshed(i, path)
+    read = files_read(i.spark, f"{path}/views").groupBy(F.col("part").cast("bigint").alias("refresh"))
+    return read.agg(F.count_distinct("file").alias("files"), F.sum("logs").alias("logs"))
+
+
 QUERIES = {
+    "views_incremental": views_incremental,
+    "incremental_reads": incremental_reads,
     "stream_late_rows": stream_late_rows,
     "stream_late_windows": stream_late_windows,
     "stream_dual_delivery": stream_dual_delivery,

@@ -625,4 +625,8 @@ SQL |= {
                                        bytes_transferred := 'many', user_agent, request_path))) END AS length FROM netlog)
         SELECT reader, position, reason, CAST(length AS BIGINT) AS length
         FROM spoiled CROSS JOIN (VALUES ('batch'), ('stream')) AS readers(reader) WHERE reason IS NOT NULL""",
+    "views_incremental": f"{_V} SELECT * FROM ip_reputation",
+    "incremental_reads": f"""{_with(NETLOG)} SELECT CAST(least((event_id - low) * 3 // (high - low + 1) + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END, 2)
+          AS BIGINT) AS refresh, count(DISTINCT date_trunc('hour', event_time)) AS files, count(*) AS logs
+        FROM netlog, (SELECT min(event_id) AS low, max(event_id) AS high FROM events) GROUP BY 1""",
 }
