@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from netsentry.functions.text import number_or_zero
 from netsentry.operators import detect, enrich, live
 from netsentry.operators.rollup import rollup
 from netsentry.plans import batch, delivery, serving, store, views
+from netsentry.rules import LIVE_RETENTION_HOURS
 from netsentry.schema import LOG_COLUMNS
 from netsentry.session import work_dir
 from netsentry.sources import archive, logs
@@ -125,6 +126,12 @@ def reject_counts(i: Inputs) -> DataFrame:
     return logs.rejects(keyed.select(cut.alias("value")))
 
 
+def replay_deep_slice(i: Inputs) -> DataFrame:
+    """A slice near the end of the stored log, found by counts of ranges."""
+    rows = store.materialize(i.raw_logs().select("event_id", "timestamp", "source_ip", "request_path"), "log")
+    return logs.deep_slice(rows, "event_id", offset=rows.count() * 9 // 10, rows=logs.REPLAY_NEXT, bins=64, most=256)
+
+
 def json_props_parse(i: Inputs) -> DataFrame:
     schema = T.StructType([T.StructField("k", T.LongType())])
     return logs.parse_json(i.table("events"), schema, "props", keep=("event_id", "event_type"))
@@ -180,14 +187,20 @@ def view_scan(i: Inputs) -> DataFrame:
     return result
 
 
+VIEW_FILES = 16  # files of a view that is read by key
+
+
 def view_point_lookup(i: Inputs) -> DataFrame:
-    keyed = _stored_view(i, "ip_reputation", i.reputation())
-    return store.lookup(keyed, IP).select("row_key", "src_ip", "total_alerts", "risk_score", "risk_level", "last_seen")
+    """One row of a view of many files; its key range leaves one of them."""
+    path = work_dir(i.spark, "views")
+    store.write_views({"ip_reputation": i.reputation()}, path, files=VIEW_FILES)
+    return store.lookup_key(i.spark, path, "ip_reputation", IP).select("row_key", "src_ip", "total_alerts", "risk_score", "risk_level", "last_seen")
 
 
 def view_prefix_scan(i: Inputs) -> DataFrame:
-    keyed = _stored_view(i, "ip_attack_types", views.ip_attack_types(i.rollup()))
-    return store.lookup_prefix(keyed, IP).select("row_key", "src_ip", "alert_type", "alert_count", "last_seen")
+    path = work_dir(i.spark, "views")
+    store.write_views({"ip_attack_types": views.ip_attack_types(i.rollup())}, path, files=VIEW_FILES)
+    return store.lookup_key_prefix(i.spark, path, "ip_attack_types", IP).select("row_key", "src_ip", "alert_type", "alert_count", "last_seen")
 
 
 def ip_history_prefix_scan(i: Inputs) -> DataFrame:
@@ -195,6 +208,32 @@ def ip_history_prefix_scan(i: Inputs) -> DataFrame:
     return serving.ip_history(history, IP).select("row_key", "src_ip", "alert_type", "event_time", "archived_at")
 
 
+def view_scan_absent(i: Inputs) -> DataFrame:
+    """Rows of the ten views in a store that holds two of them so far."""
+    path = work_dir(i.spark, "views")
+    store.register_views(i.spark, path)
+    rolled = i.stored_rollup()
+    store.write_views({"ip_reputation": views.ip_reputation(rolled), "target_ip_stats": views.target_ip_stats(rolled, limit=None)}, path)
+    return views.row_counts(**{name: store.read_view_or_empty(i.spark, path, name) for name in views.VIEW_KEYS})
+
+
+PROFILE_BUCKETS = 8
+
+
+def ip_profile_bucketed(i: Inputs) -> DataFrame:
+    """The profiles from views that are stored in buckets by address: their joins need no shuffle."""
+    path = work_dir(i.spark, "bucketed")
+    rolled = i.stored_rollup()
+    inputs = {
+        "ip_reputation": views.ip_reputation(rolled),
+        "global_ip_stats": views.global_ip_stats(rolled, limit=None),
+        "live_summary": serving.live_summary(i.live(), DAY),
+    }
+    for name, view in inputs.items():
+        store.write_bucketed(view, f"{path}/{name}", "src_ip", PROFILE_BUCKETS)
+    return serving.ip_profile(*(store.read_bucketed(i.spark, f"{path}/{name}") for name in inputs))
+
+
 def ip_profile_one(i: Inputs) -> DataFrame:
     """The profile of one IP; its address filters each input before the joins."""
     return i.profile(IP)
@@ -291,6 +330,14 @@ def expired_partitions(i: Inputs) -> DataFrame:
     return kept.groupBy("alert_date").agg(F.count("*").alias("alerts"), F.count_distinct("source_ip").alias("sources"))
 
 
+def live_expired_rows(i: Inputs) -> DataFrame:
+    """The live table after the rows older than the retention have been deleted, read without a filter."""
+    path = work_dir(i.spark, "live-days")
+    i.live().write.partitionBy("alert_date").parquet(path)
+    store.drop_expired(i.spark, path, datetime.fromisoformat(NOW) - timedelta(hours=LIVE_RETENTION_HOURS))
+    return jobs.read_compacted(i.spark, path).select("alert_id", "source_ip", "alert_type", "inserted_at")
+
+
 def alert_null_defaults(i: Inputs) -> DataFrame:
     def gap(column: str, every: int):
         return F.when(F.expr(f"event_id % {every} <> 0"), F.col(column)).alias(column)
@@ -462,6 +509,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     # sources
     "log_to_json_roundtrip": log_to_json_roundtrip,
     "replay_slice": replay_slice,
+    "replay_deep_slice": replay_deep_slice,
     "json_props_parse": json_props_parse,
     "archive_scan_hour": archive_scan_hour,
     "event_time_fallback": event_time_fallback,
@@ -470,6 +518,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "csv_to_alerts": csv_to_alerts,
     "reject_counts": reject_counts,
     "view_scan": view_scan,
+    "view_scan_absent": view_scan_absent,
     "view_point_lookup": view_point_lookup,
     "view_prefix_scan": view_prefix_scan,
     "ip_history_prefix_scan": ip_history_prefix_scan,
@@ -484,6 +533,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "kpi_total_unique_targets": kpi_total_unique_targets,
     "view_kpi_row": view_kpi_row,
     "live_retention_24h": live_retention_24h,
+    "live_expired_rows": live_expired_rows,
     # projections
     "archive_date_parts": archive_date_parts,
     "normalize_logs": normalize_logs,
@@ -530,6 +580,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "risk_distribution": lambda i: serving.risk_distribution(i.reputation()),
     "reputation_with_last_live": reputation_with_last_live,
     "ip_profile": lambda i: i.profile(),
+    "ip_profile_bucketed": ip_profile_bucketed,
     "ip_profile_one": ip_profile_one,
     "ip_profile_fallback": ip_profile_fallback,
     "ip_one": ip_one,

@@ -77,9 +77,9 @@ def rejected(raw: DataFrame, value: str = "value", keep: tuple = ()) -> DataFram
     read = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
     rows = raw.select(*keep, text.alias(value), read.alias("data"))
     nothing = F.coalesce(*[F.col(f"data.{name}").cast("string") for name in LOG_COLUMNS]).isNull()
-    blank = F.col(value).isNull() | (F.btrim(F.col(value)) == "")
+    blank = F.col(value).isNull() | F.col(value).rlike(r"^\s*$")
     # The reader reports a wrong type and a wrong syntax alike; what is an object has its text parsed without a schema.
-    is_object = F.try_parse_json(F.col(value)).isNotNull() & F.btrim(F.col(value)).startswith("{")
+    is_object = F.try_parse_json(F.col(value)).isNotNull() & F.col(value).rlike(r"^\s*\{")
     reason = (
         F.when(blank, EMPTY)
         .when(F.col("data._unread").isNotNull(), F.when(is_object, MISTYPED).otherwise(MALFORMED))
@@ -150,6 +150,64 @@ def replay_slice(logs: DataFrame, order_by: str, offset: int = 0, rows: int = RE
     return logs.orderBy(order_by).offset(offset).limit(rows)
 
 
+NARROW_BINS = 1_024  # ranges of the order column that are counted at a time
+NARROW_ROWS = 100_000  # rows beyond the slice itself that may be sorted to find it
+
+
+def _number(column: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("bigint")
+    if isinstance(kind, T.IntegralType):
+        return F.col(column).cast("bigint")
+    raise TypeError(f"{column} must be a whole number, a date or a timestamp")
+
+
+def deep_slice(logs: DataFrame, order_by: str, offset: int, rows: int, bins: int = NARROW_BINS, most: int = NARROW_ROWS) -> DataFrame:
+    """`replay_slice` for offsets far into a large table; `order_by` is a whole number, a date or a timestamp, nulls first.
+
+    The column's range is cut into `bins`, their rows are counted, and running sums tell which bins hold the slice; those
+    are cut again until they hold few rows more than the slice. Only rows of that range are sorted: the comparison that
+    keeps them reaches the reader, so other row groups are not even read. Give a stored table; each round reads the
+    column of the range left. Rows with equal values cannot be told apart and are sorted together.
+    """
+    if offset < 0 or rows < 1:
+        raise ValueError("a slice begins at 0 or later and has at least one row")
+    kind = logs.schema[order_by].dataType
+    number = _number(order_by, kind)
+    left = logs.filter(F.col(order_by).isNotNull())
+    bounds = logs.agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n"), F.count(order_by).alias("known")).first()
+    if offset < bounds["n"] - bounds["known"] or bounds["low"] is None:
+        return logs.orderBy(order_by).offset(offset).limit(rows)
+    low, high, inside, skipped = bounds["low"], bounds["high"], bounds["known"], offset - (bounds["n"] - bounds["known"])
+    while inside > rows + most and low < high:
+        width = (high - low) // bins + 1
+        bin_of = F.expr(f"(_at - ({low})) div {width}").alias("bin")
+        counts = dict(left.select(number.alias("_at")).groupBy(bin_of).count().collect())  # `bins` rows at most
+        before, chosen, start = 0, [], 0
+        for place in sorted(counts):
+            if before + counts[place] > skipped and before < skipped + rows:
+                start = start if chosen else before
+                chosen.append(place)
+            before += counts[place]
+        if not chosen:  # past the end
+            return left.limit(0)
+        reached = low + chosen[0] * width, min(high, low + (chosen[-1] + 1) * width - 1)
+        inside, skipped = sum(counts[place] for place in chosen), skipped - start
+        if reached == (low, high):  # no bin can be left out
+            break
+        low, high = reached
+        left = left.filter((F.col(order_by) >= _value(low, kind)) & (F.col(order_by) <= _value(high, kind)))
+    return left.orderBy(order_by).offset(skipped).limit(rows)
+
+
+def _value(number: int, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(F.lit(number))
+    return F.date_from_unix_date(F.lit(number).cast("int")) if isinstance(kind, T.DateType) else F.lit(number)
+
+
 def publish_kafka(logs: DataFrame, servers: str, topic: str) -> None:
     """Sends the messages from the executors; needs the Kafka connector on the class path."""
     (

@@ -630,3 +630,13 @@ SQL |= {
           AS BIGINT) AS refresh, count(DISTINCT date_trunc('hour', event_time)) AS files, count(*) AS logs
         FROM netlog, (SELECT min(event_id) AS low, max(event_id) AS high FROM events) GROUP BY 1""",
 }
+SQL |= {
+    "replay_deep_slice": f"""{_with(NETLOG)} SELECT event_id, timestamp, source_ip, request_path FROM netlog
+        QUALIFY row_number() OVER (ORDER BY event_id) > count(*) OVER () * 9 // 10
+            AND row_number() OVER (ORDER BY event_id) <= count(*) OVER () * 9 // 10 + 500""",
+    "view_scan_absent": f"""{_V} SELECT 'ip_reputation' AS "table", count(*) AS "rows" FROM ip_reputation
+        UNION ALL SELECT 'target_ip_stats', count(*) FROM targets
+        UNION ALL SELECT unnest([{', '.join(f"'{view}'" for view, _, _ in _STORED if view not in ('ip_reputation', 'target_ip_stats'))}]), 0""",
+    "live_expired_rows": SQL["live_retention_24h"],
+    "ip_profile_bucketed": SQL["ip_profile"],
+}
