@@ -21,7 +21,10 @@ MIN_WORDS, MAX_REPEATED = 20, 30  # fewer words, or a larger percentage of repea
 ROUNDS = 30
 #: Where EM starts (accuracy on good and on bad documents, share of good ones), and the bounds it keeps to.
 START_GOOD, START_BAD, START_SHARE = 0.99, 0.3, 0.85
-BOUNDS_GOOD, BOUNDS_BAD, BOUNDS_SHARE = (0.95, 0.9999), (0.05, 0.99), (0.05, 0.98)
+BOUNDS, BOUNDS_SHARE = (0.0001, 0.9999), (0.05, 0.98)
+#: Imagined votes at the starting accuracies, as parts of all documents. Those on good documents say that any rule errs at
+#: times: without them a rule that hardly ever errs gets an accuracy near 1, and one bad vote of it outweighs all others.
+PRIOR_GOOD, PRIOR_BAD = 0.3, 0.001
 SYMBOLS = "#*$%&|<>"
 
 
@@ -120,15 +123,16 @@ def estimate(votes: DataFrame, count: int) -> DataFrame:
     def once(model: Column, _: Column) -> Column:
         weighed = F.transform("patterns", lambda p: F.struct(p["votes"].alias("v"), p["n"].cast("double").alias("n"), posterior(p["votes"], model).alias("q")))
 
-        def accuracy(rows: Column, vote: int, start: float, bounds: tuple[float, float]) -> Column:
+        def accuracy(rows: Column, vote: int, start: float, prior: float) -> Column:
             share = lambda x: x["n"] * (x["q"] if vote else 1 - x["q"])
+            # One imagined vote at least, so that a rule that never votes has an accuracy too.
+            imagined = F.greatest(F.lit(1.0), prior * add(rows, lambda x: x["n"]))
             return F.transform(
                 F.sequence(F.lit(0), F.lit(count - 1)),
-                # One imagined vote at the start, so that a rule that never votes has an accuracy too.
                 lambda r: held(
-                    (add(rows, lambda x: F.when(x["v"][r] == vote, share(x)).otherwise(0.0)) + start)
-                    / (add(rows, lambda x: F.when(x["v"][r].isNotNull(), share(x)).otherwise(0.0)) + 1),
-                    bounds,
+                    (add(rows, lambda x: F.when(x["v"][r] == vote, share(x)).otherwise(0.0)) + start * imagined)
+                    / (add(rows, lambda x: F.when(x["v"][r].isNotNull(), share(x)).otherwise(0.0)) + imagined),
+                    BOUNDS,
                 ),
             )
 
@@ -136,8 +140,8 @@ def estimate(votes: DataFrame, count: int) -> DataFrame:
             F.array(weighed),
             lambda rows: F.struct(
                 held((add(rows, lambda x: x["n"] * x["q"]) + START_SHARE) / (add(rows, lambda x: x["n"]) + 1), BOUNDS_SHARE).alias("share"),
-                accuracy(rows, 1, START_GOOD, BOUNDS_GOOD).alias("on_good"),
-                accuracy(rows, 0, START_BAD, BOUNDS_BAD).alias("on_bad"),
+                accuracy(rows, 1, START_GOOD, PRIOR_GOOD).alias("on_good"),
+                accuracy(rows, 0, START_BAD, PRIOR_BAD).alias("on_bad"),
             ),
         )[0]
 
