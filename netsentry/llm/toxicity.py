@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -39,21 +40,26 @@ WORD = re.compile(r"[^\x00-\x20\x85\xa0]+")
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 
+@cache
+def point_class(point: int) -> int:
+    """The class of a code point: white space is an edge, a-z have one each, other letters share. Styled letters, inside
+    the basic plane and beyond it, have that of the plain letter that they are compatible with."""
+    char = chr(point)
+    if point > 0xFFFF or char.isalpha():
+        char = unicodedata.normalize("NFKC", char)[:1]
+    char = LOOKALIKE.get(char, char)
+    low = char.lower()[:1]
+    if "a" <= low <= "z":
+        return 2 + ord(low) - ord("a")
+    if char.isspace():
+        return EDGE
+    return 28 + ord(low) % 36 if char.isalpha() else GAP
+
+
 @cache
 def classes() -> np.ndarray:
-    """The class of each code point of the basic plane: white space is an edge, a-z have one each, other letters share."""
-    table = np.zeros(1 << 16, np.uint8)
-    for point in range(1 << 16):
-        char = chr(point)
-        char = LOOKALIKE.get(char, char)
-        low = char.lower()[:1]
-        if "a" <= low <= "z":
-            table[point] = 2 + ord(low) - ord("a")
-        elif char.isspace():
-            table[point] = EDGE
-        elif char.isalpha():
-            table[point] = 28 + ord(low) % 36
-    return table
+    """The classes of the basic plane."""
+    return np.array([point_class(point) for point in range(1 << 16)], np.uint8)
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +70,11 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     line = "\n" + "\n".join(texts) + "\n"
     points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    found = classes()[np.minimum(points, 0xFFFF)].copy()
+    found = classes()[np.minimum(points, 0xFFFF)]
+    beyond = np.nonzero(points > 0xFFFF)[0]
+    if len(beyond):
+        each, which = np.unique(points[beyond], return_inverse=True)
+        found[beyond] = np.array([point_class(point) for point in each.tolist()], np.uint8)[which]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.concatenate(([0], np.cumsum(sizes + 1)))
     edges = np.nonzero(found == EDGE)[0]
@@ -77,10 +87,9 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[kept], kept, starts[:-1]
 
 
-@cache
-def norms() -> np.ndarray:
-    """The norm that a unit of each size (ends included) is divided by."""
-    size = np.arange(1 << 12)
+def norms(size: np.ndarray) -> np.ndarray:
+    """The norm that units of these sizes (ends included) are divided by; from SPAN on its square grows by the same with
+    each character."""
     square = np.ones(len(size))
     for a, b in STEPS:
         square += DECAY ** (2 * (a + b - 2)) * np.maximum(0, size - a - b)
@@ -105,10 +114,10 @@ def unit_values(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.nda
             whole = before[span - 1 : size - 1] == before[: size - span]  # no edge inside
             total[: size - span] += np.float32(DECAY ** (span - 2)) * table[head[: size - span] + wide[span:]] * whole
     values = np.add.reduceat(total, first)[:-1] if len(first) > 1 else np.zeros(0, np.float32)
-    units = np.minimum(np.diff(first) + 1, len(norms()) - 1)
+    units = np.diff(first) + 1
     place = kept[first[:-1]]
     owner = np.searchsorted(starts, place, "right") - 1
-    return values / norms()[units], place, owner
+    return values / norms(units), place, owner
 
 
 def features(unit: str) -> dict[int, float]:
@@ -121,7 +130,7 @@ def features(unit: str) -> dict[int, float]:
                 three = found[i], found[i + a], found[i + a + b]
                 code = (three[0] * CLASSES + three[1]) * CLASSES + three[2]
                 out[code] = out.get(code, 0.0) + DECAY ** (a + b - 2)
-    norm = norms()[min(len(found), len(norms()) - 1)]
+    norm = norms(np.array([len(found)]))[0]
     return {code: weight / norm for code, weight in out.items()}
 
 

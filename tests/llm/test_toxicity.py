@@ -35,7 +35,7 @@ def brute_kernel(a, b):
                     if k - i <= X.SPAN and X.EDGE not in found[i + 1 : k]:
                         key = found[i], found[j], found[k]
                         out[key] = out.get(key, 0.0) + X.DECAY ** (k - i - 2)
-        return out, X.norms()[len(found)]
+        return out, X.norms(np.array([len(found)]))[0]
 
     (x, n), (y, m) = weights(a), weights(b)
     return sum(w * y.get(k, 0.0) for k, w in x.items()) / n / m
@@ -111,3 +111,15 @@ def test_hostile_rows(spark, hostile, nothing, model):
     labels = spark.createDataFrame([(4, 0, 1), (4, 0, None), (6, 1, 0), (None, 1, 1), (8, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert X.learn(hostile, labels) is not None
     assert X.learn(nothing, labels.limit(0)) is None and X.toxicity(nothing, None).count() == 0
+
+
+def test_the_norm_grows_with_the_root_of_the_length():
+    table = np.ones(X.CLASSES**3, np.float32)
+    values = [X.unit_values(table, ["a" * n])[0][0] / n**0.5 for n in (100, 4_000, 5_000, 20_000, 100_000)]
+    assert max(values) < 1.02 * min(values)
+
+
+def test_styled_letters_have_the_class_of_plain_ones():
+    styled = "".join(chr(0x1D400 + ord(c) - ord("A")) for c in "INSULT") + " " + "".join(chr(0xFF41 + ord(c) - ord("a")) for c in "word")
+    assert (X.encode([styled])[0] == X.encode(["INSULT word"])[0]).all()
+    assert (X.encode(["\U0001d7d0a"])[0] == X.encode(["2a"])[0]).all() and len(X.encode(["\U0001f600"])[0]) == len(X.encode([""])[0])
