@@ -157,7 +157,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     result and of what is stored.
     """
     names = {n: free_name(docs, n) for n in ("digest", "keep_id", "group_size", "kept")}
-    row = free_name(docs, "row_key")
+    row, keep = free_name(docs, "row_key"), free_name(docs, "keep_row")
     rows = docs.withColumn(names["digest"], F.arrow_udf(text_digest, "binary")(F.col(text_column).cast("string"))).withColumn(row, F.monotonically_increasing_id())
     rows = stored(rows if keep_text else rows.drop(text_column), "digests")
     live = live_digests(
@@ -169,11 +169,11 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.col("digest").alias(names["digest"]),
         F.col("keep_id").alias(names["keep_id"]),
         F.col("n").alias(names["group_size"]),
-        F.col("keep_row").alias("__keep_row"),
+        F.col("keep_row").alias(keep),
     )
     # A hot digest is one row on the right; the many rows on the left are split by adaptive execution.
     return (
         rows.join(live, names["digest"])
-        .withColumn(names["kept"], F.col(row) == F.col("__keep_row"))
-        .drop(row, "__keep_row")
+        .withColumn(names["kept"], F.col(row) == F.col(keep))
+        .drop(row, keep)
     )

@@ -202,15 +202,21 @@ def cut_text(text: str, spans: list[tuple[int, int, int]], number: int) -> str:
 
 def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 42) -> DataFrame:
     """The mix itself: rows of `docs` (`doc_id`, `text`, `source`, others), one for each pass in which the document has
-    taken words, with the text cut to them (and `n_chars` to its length, where there is such a column)."""
-    row = free_name(docs, "row")
+    taken words, with the text cut to them (and `n_chars` to its length, where there is such a column).
+
+    Null and empty texts have no words and are never taken; a null source is one of its own, the last. Equal rows are
+    separate documents that are taken alike; a text of any length is cut at blocks of words and lies in one shard. An
+    empty table gives no rows. Other columns stay as they are, whatever their names.
+    """
+    row, taken, texts, one = (free_name(docs, n) for n in ("row", "taken_spans", "taken_texts", "taken_text"))
+    of_row = free_name(docs, "of_row")
     keyed_docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
     sized = keyed_docs.select(
         F.col(row).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
         F.xxhash64("doc_id", F.col("source").cast("string"), word_count(F.col("text").cast("string"))).alias("key"),
     )
     _, spans = mix_spans(stored(sized, "mix-sizes"), lambda rows: cyclic_weights(rows, weights), share, cap, seed)
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last", "times")).alias("__spans"))
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last", "times")).alias(taken))
 
     def cut(text: pa.Array, taken: pa.Array) -> pa.Array:
         kind = pa.list_(pa.string())
@@ -223,9 +229,9 @@ def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights
             parts.append(pa.array(out, kind))
         return pa.concat_arrays(parts)
 
-    texts = F.arrow_udf(cut, "array<string>")(F.col("text").cast("string"), F.col("__spans"))
-    mixed = keyed_docs.join(spans.withColumnRenamed("row", "__row"), F.col(row) == F.col("__row"))
-    mixed = mixed.withColumn("__texts", texts).withColumn("__text", F.explode("__texts")).withColumn("text", F.col("__text"))
+    parts = F.arrow_udf(cut, "array<string>")(F.col("text").cast("string"), F.col(taken))
+    mixed = keyed_docs.join(spans.withColumnRenamed("row", of_row), F.col(row) == F.col(of_row))
+    mixed = mixed.withColumn(texts, parts).withColumn(one, F.explode(texts)).withColumn("text", F.col(one))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return mixed.select(*docs.columns)

@@ -191,7 +191,7 @@ def simhash_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     among each other and to others only through equal fingerprints: they have the class of their fingerprint, and a null
     `component_id` if nobody in it has an id. Taken column names get underscores. Empty tables give no rows.
     """
-    mark, component = free_name(docs, "fingerprint"), free_name(docs, "component_id")
+    mark, component, found = (free_name(docs, n) for n in ("fingerprint", "component_id", "found_fingerprint"))
     rows = docs.withColumn(mark, F.arrow_udf(fingerprints, "bigint")(F.col(text_column).cast("string"))).drop(text_column)
     rows = stored(rows, "fingerprints")
     # One node per fingerprint, however many documents share it.
@@ -199,9 +199,9 @@ def simhash_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     nodes = stored(nodes, "fingerprint-nodes")
     classes = connected_components(near_links(nodes.filter("node is not null")))
     named = nodes.join(classes, "node", "left").select(
-        F.col("fingerprint").alias("__fingerprint"), F.coalesce("component", "node").alias(component)
+        F.col("fingerprint").alias(found), F.coalesce("component", "node").alias(component)
     )
-    return rows.join(named, F.col(mark) == F.col("__fingerprint")).drop("__fingerprint")
+    return rows.join(named, F.col(mark) == F.col(found)).drop(found)
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
