@@ -84,7 +84,7 @@ class Inputs:
         return store.materialize(self.rollup(), "rollup")
 
     def profile(self, ip: str | None = None) -> DataFrame:
-        rolled = self.rollup()
+        rolled = self.stored_rollup()
         return serving.ip_profile(
             views.ip_reputation(rolled), views.global_ip_stats(rolled, limit=None), serving.live_summary(self.live(), DAY), ip
         )
@@ -242,7 +242,7 @@ def ip_profile_one(i: Inputs) -> DataFrame:
 def ip_profile_fallback(i: Inputs) -> DataFrame:
     """Profiles where the reputation is of half of the addresses only, as after a partial refresh; the others take their
     counts from `global_ip_stats`."""
-    rolled = i.rollup()
+    rolled = i.stored_rollup()
     half = views.ip_reputation(rolled).filter(F.substring_index("src_ip", ".", -1).cast("int") % 2 == 0)
     stats = views.global_ip_stats(rolled, limit=None)
     profile = serving.ip_profile(half, stats, serving.live_summary(i.live(), DAY))
@@ -251,11 +251,12 @@ def ip_profile_fallback(i: Inputs) -> DataFrame:
 
 def ip_one(i: Inputs) -> DataFrame:
     """Relations, types, history and newest live alerts of one IP: part, position and what stands there."""
-    rolled = i.rollup()
+    alerts = i.stored_alerts()
+    rolled = rollup(alerts)
     parts = {
         "relations": (serving.ip_relations(views.attacker_victim_stats(rolled, limit=None), ip=IP), "dest_ip"),
         "types": (serving.ip_top_types(views.ip_attack_types(rolled), ip=IP), "alert_type"),
-        "history": (serving.ip_recent_history(views.ip_historical_alerts(i.alerts(), limit=None), ip=IP), "row_hash"),
+        "history": (serving.ip_recent_history(views.ip_historical_alerts(alerts, limit=None), ip=IP), "row_hash"),
         "live": (serving.live_newest_per_ip(i.live(), DAY, ip=IP), "alert_type"),
     }
     result = None
@@ -576,7 +577,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "live_summary_by_ip": lambda i: serving.live_summary(i.live(), DAY),
     "live_dimension_counts": lambda i: serving.live_dimension_counts(i.live(), DAY),
     "live_newest_per_ip": lambda i: serving.live_newest_per_ip(i.live(), DAY),
-    "live_feed_page": lambda i: serving.live_feed_page(i.live(), DAY, page=3),
+    "live_feed_page": lambda i: serving.live_feed_page(store.materialize(i.live(), "live"), DAY, page=3),
     "risk_distribution": lambda i: serving.risk_distribution(i.reputation()),
     "reputation_with_last_live": reputation_with_last_live,
     "ip_profile": lambda i: i.profile(),
