@@ -39,7 +39,7 @@ WINDOW, GRAM = 20, 8  # words
 STEPS = WINDOW - GRAM  # words before an anchor that a window can reach
 PACK = 1 << 22
 BUCKET = 1_000_000  # gram hashes of a bucket, about
-SHARD = 60_000  # passages of a shard, about
+SHARD = 12_000  # passages of a shard, about: its automaton fits a processor cache
 HOT = 2_048  # times that a gram occurs from which on its windows are sent one by one; a pack counts to 255
 PLANE = 1_000_000  # words that one character tells apart
 _SPACE = np.zeros(256, bool)

@@ -44,7 +44,7 @@ def documents(seed):
     return docs + [(106, "x " * 20), (107, "x " * 21), (None, "a b " * 30), (108, "no break word " * 50)]
 
 
-@pytest.mark.parametrize("hot, pack_bytes, shard", [(2048, 1 << 22, 60_000), (2048, 700, 50), (3, 700, 20)])
+@pytest.mark.parametrize("hot, pack_bytes, shard", [(2048, 1 << 22, 12_000), (2048, 700, 50), (3, 700, 20)])
 def test_equals_brute_force(spark, hot, pack_bytes, shard):
     docs = documents(hot + pack_bytes)
     rows = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
