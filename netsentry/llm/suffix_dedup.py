@@ -8,13 +8,17 @@ same offset, so two equal windows always meet at their anchors. About one byte i
 1. Documents are packed (about PACK bytes each, compressed) and stored.
 2. Each pack sends its anchors' gram hashes to buckets; a bucket finds those of more than one document and answers each
    pack with one bit per hash. The hash only filters; a collision costs work, not correctness.
-3. Each pack sends the suffixes of shared anchors, with the bytes before them, to the bucket of their leading bytes;
-   splitters come from a sample of leading bytes. A bucket sorts its suffixes by multikey quicksort, compares neighbours,
+3. Each pack sends the suffixes of shared anchors, with the bytes before them, to the bucket of their gram. Splitters are
+   whole grams at even ranks of a sample of what will be sent, so suffixes that begin alike are cut as well; only those of
+   one gram stay together. Splitters are MAX_RANGES at most, as every task has them; where more buckets are needed, a hash
+   of the gram deals each range to several. A bucket sorts its suffixes by multikey quicksort, compares neighbours,
    and classes of equal prefixes and equal bytes before the anchor tell for every window the smallest document it occurs
    in. A gram in very many packs could fill a bucket with different suffixes and would be cut by no splitter; its windows
    are sent one by one instead, by their own hash, so that no class of windows lies across a boundary.
 4. Each pack gets the windows to remove back and gives its documents' results.
 
+A document is in one pack whatever its size; its bytes are hashed in overlapping pieces of PIECE bytes.
+
 A pack sends each gram, suffix or window once, however many of its documents have it.
 """
 
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsentry.llm.common import shuffle_width, stored
+from netsentry.llm.ranks import ranked
 
 LENGTH, GRAM = 50, 26
 BEFORE = LENGTH - GRAM  # bytes before an anchor that a window can reach
 OFFSETS = BEFORE + 1  # places of the anchor in a window
 RECORD = LENGTH + BEFORE + 2  # suffix, bytes before it backwards, how many there are of each
 PACK = 1 << 21
-BUCKET = 4_000_000  # anchors of a bucket, about
+PIECE = 1 << 20  # bytes that are hashed at once
+GRAM_BUCKET = 4_000_000  # gram hashes that a bucket of step 2 compares, about
+BUCKET = 500_000  # suffixes or windows that a bucket of step 3 compares, about
+MAX_RANGES = 16_384  # ranges between splitters
+SAMPLED = 128  # one gram in so many that a pack sends is in the sample
 HOT = 512  # packs with a gram from which on its windows are sent one by one
 LEVEL = 5  # of the packs' compression: they are stored once and shuffled twice
-SAMPLED = 64  # leading bytes that a pack gives to the sample
 NO_ID = np.iinfo(np.int64).max  # documents without id come after all others
 
 
@@ -88,22 +97,32 @@ class Pack:
         self.keys = empty.astype(np.uint64)
         if len(self.raw) < LENGTH:
             return
-        hashes = gram_hashes(self.raw)
-        anchors = window_anchors(hashes)
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[: len(anchors)]
-        inside = np.arange(len(anchors)) + LENGTH <= self.ends[owner]
-        place = np.nonzero(inside)[0]
-        anchors, owner = anchors[place], owner[place]
+        parts = [self._piece(start) for start in range(0, len(self.raw) - LENGTH + 1, PIECE)]
+        anchors, owner, first, last, keys = (np.concatenate(c) for c in zip(*parts))
+        # An anchor whose windows start in two pieces is one anchor.
+        new = np.ones(len(anchors), bool)
+        new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+        at = np.nonzero(new)[0]
+        self.anchors, self.owner, self.first, self.keys = anchors[at], owner[at], first[at], keys[at]
+        self.last = last[np.append(at[1:], len(anchors)) - 1] if len(at) else empty
+
+    def _piece(self, start: int) -> tuple[np.ndarray, ...]:
+        """(anchor, document, first window, last window, gram hash) of the windows that start in PIECE bytes from here on."""
+        hashes = gram_hashes(self.raw[start : start + PIECE + LENGTH - 1])
+        anchors = window_anchors(hashes) + start
+        place = np.arange(start, start + len(anchors))
+        owner = np.searchsorted(self.ends, place, "right")
+        inside = place + LENGTH <= self.ends[owner]
+        place, anchors, owner = place[inside], anchors[inside], owner[inside]
         new = np.ones(len(place), bool)
         new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
         at = np.nonzero(new)[0]
-        self.anchors, self.owner, self.first = anchors[at], owner[at], place[at]
-        self.last = place[np.append(at[1:], len(place)) - 1] if len(at) else empty
-        self.keys = _mix(hashes[self.anchors] * np.uint64(0xD6E8FEB86659FD93))
+        last = place[np.append(at[1:], len(place)) - 1] if len(at) else place
+        return anchors[at], owner[at], place[at], last, _mix(hashes[anchors[at] - start] * np.uint64(0xD6E8FEB86659FD93))
 
-    def routed(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, hash within it, whether several documents here have it) of each different gram in order, and for
-        each anchor the place of its gram there."""
+    def routed(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, hash within it, whether several documents here have it, an anchor that has it) of each different gram
+        in order, and for each anchor the place of its gram there."""
         bucket = (self.keys >> np.uint64(40)) % np.uint64(buckets)
         whole = (bucket << np.uint64(32)) | (self.keys & np.uint64(0xFFFFFFFF))
         order = np.argsort(whole, kind="stable")
@@ -115,7 +134,8 @@ class Pack:
         several = self.owner[order[at]] != self.owner[order[last]] if len(at) else np.zeros(0, bool)
         where = np.empty(len(order), np.int64)
         where[order] = np.cumsum(new) - 1
-        return (ordered[at] >> np.uint64(32)).astype(np.int64), (ordered[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), several, where
+        grams = (ordered[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return (ordered[at] >> np.uint64(32)).astype(np.int64), grams, several, order[at], where
 
     def suffixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(record, id) of the chosen anchors. A record has the LENGTH bytes from the anchor on, the BEFORE bytes before
@@ -150,19 +170,18 @@ def multikey_order(records: np.ndarray, above: np.ndarray | None = None) -> np.n
     """The order of the records by their bytes: sorted by the first token of eight bytes, then each run of equal ones by
     the next token, and so on. `above` comes before the bytes."""
     count, width = records.shape
-    padded = np.zeros((count, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = records
-    tokens = padded.view(">u8").astype(np.uint64)
     order = np.argsort(above, kind="stable") if above is not None else np.arange(count)
     run = np.zeros(count, np.int64)
     if above is not None and count:
         run[1:] = np.cumsum(above[order][1:] != above[order][:-1])
-    for level in range(tokens.shape[1]):
+    for level in range(0, width, 8):
         sizes = np.bincount(run, minlength=1)
         open_ = np.nonzero(sizes[run] > 1)[0]
         if not len(open_):
             break
-        token = tokens[order[open_], level]
+        token = np.zeros((len(open_), 8), np.uint8)
+        token[:, : width - level] = records[order[open_], level : level + 8]
+        token = token.view(">u8").ravel().astype(np.uint64)
         within = np.lexsort((token, run[open_]))
         order[open_] = order[open_][within]
         token, old = token[within], run[open_]
@@ -177,9 +196,10 @@ def multikey_order(records: np.ndarray, above: np.ndarray | None = None) -> np.n
 def common_prefix(ordered: np.ndarray) -> np.ndarray:
     """Equal leading bytes of each record and the one before it; 0 for the first."""
     out = np.zeros(len(ordered), np.int64)
-    if len(ordered) > 1:
-        differs = ordered[1:] != ordered[:-1]
-        out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), ordered.shape[1])
+    for start in range(1, len(ordered), 1 << 16):
+        stop = min(start + (1 << 16), len(ordered))
+        differs = ordered[start:stop] != ordered[start - 1 : stop - 1]
+        out[start:stop] = np.where(differs.any(axis=1), differs.argmax(axis=1), ordered.shape[1])
     return out
 
 
@@ -228,8 +248,7 @@ def _rows(columns: dict[str, pa.DataType]):
 
 
 def pack_documents(docs: DataFrame, pack_bytes: int = PACK) -> DataFrame:
-    """(`pack`, `bytes`, `ids`, `sizes`, `blob`, `sample`) from (id bigint, text string). The sample has the leading bytes
-    of SAMPLED suffixes at even distances."""
+    """(`pack`, `bytes`, `ids`, `sizes`, `blob`) from (id bigint, text string)."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
@@ -240,14 +259,12 @@ def pack_documents(docs: DataFrame, pack_bytes: int = PACK) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal number, held
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            whole = b"".join(texts)
-            places = np.linspace(0, len(whole) - 8, SAMPLED).astype(np.int64) if len(whole) >= 8 else np.zeros(0, np.int64)
-            sample = _leads(np.frombuffer(whole, np.uint8), places).tobytes()
-            row = [base + number], [held], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [zstandard.compress(whole, LEVEL)], [sample]
+            blob = zstandard.compress(b"".join(texts), LEVEL)
+            row = [base + number], [held], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [blob]
             ids.clear()
             texts.clear()
             number, held = number + 1, 0
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["pack", "bytes", "ids", "sizes", "blob", "sample"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["pack", "bytes", "ids", "sizes", "blob"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -260,7 +277,7 @@ def pack_documents(docs: DataFrame, pack_bytes: int = PACK) -> DataFrame:
         if texts:
             yield flush()
 
-    return docs.mapInArrow(packed, "pack bigint, bytes bigint, ids binary, sizes binary, blob binary, sample binary")
+    return docs.mapInArrow(packed, "pack bigint, bytes bigint, ids binary, sizes binary, blob binary")
 
 
 def _found(pack: pa.Table) -> Pack | None:
@@ -268,49 +285,34 @@ def _found(pack: pa.Table) -> Pack | None:
 
 
 def gram_rows(packs: DataFrame, buckets: int) -> DataFrame:
-    """Step 2, out: (`bucket`, `pack`, `grams`, `several`)."""
-    table = _rows({"bucket": pa.int64(), "pack": pa.int64(), "grams": pa.binary(), "several": pa.binary()})
+    """Step 2, out: (`bucket`, `pack`, `grams`, `several`, `picks`, `leads`). Picks are the places of the grams in the
+    sample, drawn anew in each pack so that a gram of many packs is in it in proportion; leads their bytes."""
+    kinds = {"bucket": pa.int64(), "pack": pa.int64()} | dict.fromkeys(("grams", "several", "picks", "leads"), pa.binary())
+    table = _rows(kinds)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 pack = Pack(row)
-                bucket, gram, several, _ = pack.routed(buckets)
+                bucket, gram, several, one, _ = pack.routed(buckets)
+                draw = _mix(pack.keys[one] ^ _mix(np.array([row["pack"] + 1], np.uint64) * _STEPS[0])) >> np.uint64(8)
+                picked = draw % np.uint64(SAMPLED) == 0
                 cuts = np.nonzero(np.diff(bucket, prepend=-1))[0]
-                ends = np.append(cuts[1:], len(bucket))
-                lists = [
-                    bucket[cuts].tolist(), [row["pack"]] * len(cuts), [gram[a:b].tobytes() for a, b in zip(cuts, ends)],
-                    [np.packbits(several[a:b]).tobytes() for a, b in zip(cuts, ends)],
-                ]
-                yield from table(lists).to_batches()
-
-    return packs.mapInArrow(sent, "bucket bigint, pack bigint, grams binary, several binary")
-
-
-def _leads(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as a signed number in their order."""
-    values = np.ascontiguousarray(raw[at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
-    return (values ^ np.uint64(1 << 63)).view(np.int64)
+                rows = []
+                for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
+                    picks = np.nonzero(picked[a:b])[0].astype(np.uint32)
+                    leads = pack.raw[pack.anchors[one[a + picks]][:, None] + np.arange(GRAM)]
+                    blobs = gram[a:b], np.packbits(several[a:b]), picks, leads
+                    rows.append((int(bucket[a]), row["pack"], *(x.tobytes() for x in blobs)))
+                yield from table(list(zip(*rows)) if rows else [[]] * 6).to_batches()
 
-
-def splitters(sample: DataFrame, buckets: int) -> np.ndarray:
-    """At most buckets - 1 leading bytes that cut the sample evenly."""
-
-    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(g, np.int64) for g in batch.column(0).to_pylist())])
-            yield pa.RecordBatch.from_arrays([pa.array(values)], ["lead"])
-
-    shares = [k / buckets for k in range(1, buckets)]
-    if not shares:
-        return np.zeros(0, np.int64)
-    cuts = sample.mapInArrow(leads, "lead bigint").agg(F.percentile_approx("lead", shares, 10_000).alias("cuts")).first()
-    return np.unique(np.array(cuts["cuts"] or [], np.int64))
+    return packs.mapInArrow(sent, "bucket bigint, pack bigint, grams binary, several binary, picks binary, leads binary")
 
 
 def shared_grams(grams: DataFrame, hot_packs: int = HOT) -> DataFrame:
-    """Step 2, back: (`pack`, `bucket`, `shared`, `hot`), a bit for each gram that the pack sent."""
-    table = _rows({"pack": pa.int64(), "bucket": pa.int64(), "shared": pa.binary(), "hot": pa.binary()})
+    """Step 2, back: (`pack`, `bucket`, `shared`, `hot`), a bit for each gram that the pack sent; `n_shared` and `n_hot`,
+    how many are shared and not hot, and shared and hot; `leads`, the sampled ones of the former."""
+    table = _rows({"pack": pa.int64(), "bucket": pa.int64(), "shared": pa.binary(), "hot": pa.binary(), "n_shared": pa.int64(), "n_hot": pa.int64(), "leads": pa.binary()})
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         grams_ = [np.frombuffer(g, np.uint32) for g in rows.column("grams").to_pylist()]
@@ -319,23 +321,71 @@ def shared_grams(grams: DataFrame, hot_packs: int = HOT) -> DataFrame:
         _, where, counts = np.unique(whole, return_inverse=True, return_counts=True)
         shared = np.bincount(where, np.concatenate(several)) + (counts > 1)
         shared, hot = shared[where] > 0, counts[where] >= hot_packs
-        lists, at = [[], [], [], []], 0
-        for pack, gram in zip(rows.column("pack").to_pylist(), grams_):
-            part = slice(at, at + len(gram))
+        samples = zip(rows.column("picks").to_pylist(), rows.column("leads").to_pylist())
+        out, at = [], 0
+        for pack, gram, (picks, leads) in zip(rows.column("pack").to_pylist(), grams_, samples):
+            own, often = shared[at : at + len(gram)], hot[at : at + len(gram)]
             at += len(gram)
-            if shared[part].any():
-                for held, value in zip(lists, (pack, key[0].as_py(), np.packbits(shared[part]).tobytes(), np.packbits(hot[part]).tobytes())):
-                    held.append(value)
-        return table(lists)
+            if own.any():
+                plain = own & ~often
+                leads = np.frombuffer(leads, np.uint8).reshape(-1, GRAM)[plain[np.frombuffer(picks, np.uint32)]]
+                bits = np.packbits(own).tobytes(), np.packbits(often).tobytes()
+                out.append((pack, key[0].as_py(), *bits, int(plain.sum()), int((own & often).sum()), leads.tobytes()))
+        return table(list(zip(*out)) if out else [[]] * 7)
+
+    schema = "pack bigint, bucket bigint, shared binary, hot binary, n_shared bigint, n_hot bigint, leads binary"
+    return grams.groupBy("bucket").applyInArrow(compare, schema)
+
 
-    return grams.groupBy("bucket").applyInArrow(compare, "pack bigint, bucket bigint, shared binary, hot binary")
+def splitters(sample: DataFrame, ranges: int) -> list[bytes]:
+    """At most `ranges` - 1 different grams at even ranks of the sample (binary, grams in a row). Ranks are exact: the
+    sample is sorted by range, and only the splitters come to the driver."""
+    if ranges < 2:
+        return []
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for leads in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([leads[k : k + GRAM] for k in range(0, len(leads), GRAM)], pa.binary())], ["lead"])
+
+    rows = ranked(sample.mapInArrow(single, "lead binary"), [], ["lead"])
+    share = lambda rank: F.floor(rank * F.lit(ranges) / F.col("size"))
+    cuts = rows.filter((F.col("rank") > 0) & (share(F.col("rank")) > share(F.col("rank") - 1))).select("lead").distinct()
+    return sorted(bytes(r.lead) for r in cuts.collect())
+
+
+@dataclass(frozen=True)
+class Route:
+    """Where grams, suffixes and windows go."""
+
+    grams: int  # buckets of step 2
+    cuts: tuple[bytes, ...]  # splitters
+    parts: int  # buckets of each range
+    windows: int  # buckets of windows
+
+    def suffix_bucket(self, records: np.ndarray) -> np.ndarray:
+        """The bucket of each suffix record: by its whole gram, so that suffixes of one gram are together."""
+        if not len(records):
+            return np.zeros(0, np.int64)
+        leads = np.ascontiguousarray(records[:, :GRAM])
+        place = np.searchsorted(np.array(self.cuts, f"S{GRAM}"), leads.view(f"S{GRAM}").ravel(), "right").astype(np.int64)
+        if self.parts == 1:
+            return place
+        return place * self.parts + (_mix(gram_hashes(leads.ravel())[::GRAM]) % np.uint64(self.parts)).astype(np.int64)
+
+    def window_bucket(self, records: np.ndarray) -> np.ndarray:
+        if not len(records):
+            return np.zeros(0, np.int64)
+        heads = gram_hashes(records.ravel())[::LENGTH]
+        tails = gram_hashes(records[:, LENGTH - GRAM :].copy().ravel())[::GRAM]
+        return (_mix(heads * _STEPS[0] + tails) % np.uint64(self.windows)).astype(np.int64)
 
 
 class Sent:
     """What a pack sends in step 3: different suffix records and windows by bucket, in an order that step 4 finds again."""
 
-    def __init__(self, pack: Pack, flags: list[dict], buckets: int, cuts: np.ndarray):
-        bucket, _, _, where = pack.routed(buckets)
+    def __init__(self, pack: Pack, flags: list[dict], route: Route):
+        bucket, _, _, _, where = pack.routed(route.grams)
         shared, hot = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
         for row in flags:
             a, b = np.searchsorted(bucket, [row["bucket"], row["bucket"] + 1])
@@ -344,11 +394,9 @@ class Sent:
         self.suffix_anchors = np.nonzero((shared & ~hot)[where])[0]
         self.windows = pack.windows(np.nonzero((shared & hot)[where])[0])
         suffixes = self._different(*pack.suffixes(self.suffix_anchors))
-        self.suffixes = suffixes + (np.searchsorted(cuts, _leads(suffixes[0].ravel(), np.arange(len(suffixes[0])) * RECORD), "right"),)
+        self.suffixes = suffixes + (route.suffix_bucket(suffixes[0]),)
         windows = self._different(*pack.window_records(self.windows))
-        hashes = gram_hashes(windows[0].ravel())[:: LENGTH] if len(windows[0]) else np.zeros(0, np.uint64)
-        tails = gram_hashes(windows[0][:, LENGTH - GRAM :].copy().ravel())[:: GRAM] if len(windows[0]) else hashes
-        self.spread = windows + ((_mix(hashes * _STEPS[0] + tails) % np.uint64(buckets)).astype(np.int64),)
+        self.spread = windows + (route.window_bucket(windows[0]),)
 
     @staticmethod
     def _different(records: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -393,7 +441,7 @@ class Sent:
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def suffix_rows(packs: DataFrame, flags: DataFrame, buckets: int, cuts: np.ndarray) -> DataFrame:
+def suffix_rows(packs: DataFrame, flags: DataFrame, route: Route) -> DataFrame:
     """Step 3, out: (`kind`, `bucket`, `pack`, `records`, `ids`)."""
     table = _rows({"kind": pa.int64(), "bucket": pa.int64(), "pack": pa.int64(), "records": pa.binary(), "ids": pa.binary()})
 
@@ -401,7 +449,7 @@ def suffix_rows(packs: DataFrame, flags: DataFrame, buckets: int, cuts: np.ndarr
         rows = []
         if pack.num_rows and flags.num_rows:
             number = pack.column("pack")[0].as_py()
-            rows = [(k, b, number, r, i) for k, b, r, i in Sent(_found(pack), flags.to_pylist(), buckets, cuts).blobs()]
+            rows = [(k, b, number, r, i) for k, b, r, i in Sent(_found(pack), flags.to_pylist(), route).blobs()]
         return table(list(zip(*rows)) if rows else [[]] * 5)
 
     schema = "kind bigint, bucket bigint, pack bigint, records binary, ids binary"
@@ -432,7 +480,7 @@ def repeated_rows(suffixes: DataFrame) -> DataFrame:
     return suffixes.groupBy("kind", "bucket").applyInArrow(compare, "pack bigint, kind bigint, bucket bigint, masks binary")
 
 
-def results(packs: DataFrame, replies: DataFrame, buckets: int, cuts: np.ndarray, full: bool) -> DataFrame:
+def results(packs: DataFrame, replies: DataFrame, route: Route, full: bool) -> DataFrame:
     """Step 4."""
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     schema += ", kept binary, spans array<struct<start bigint, stop bigint>>" if full else ""
@@ -448,9 +496,13 @@ def results(packs: DataFrame, replies: DataFrame, buckets: int, cuts: np.ndarray
         rows = replies.to_pylist()
         answers = [r for r in rows if r["masks"] is not None]
         if answers:
-            windows = Sent(pack, [r for r in rows if r["shared"] is not None], buckets, cuts).removed(pack, answers)
-            depth = np.bincount(windows, minlength=len(gone) + 1) - np.bincount(windows + LENGTH, minlength=len(gone) + 1)
-            gone = np.cumsum(depth[: len(gone)]) > 0
+            windows = Sent(pack, [r for r in rows if r["shared"] is not None], route).removed(pack, answers)
+            gone[windows] = True
+            covered = 1
+            while covered < LENGTH:  # each step doubles the bytes behind a window's start that are marked
+                step = min(covered, LENGTH - covered)
+                gone[step:] |= gone[:-step].copy()
+                covered += step
         out = []
         for key, start, stop in zip(pack.ids.tolist(), pack.starts.tolist(), pack.ends.tolist()):
             own = gone[start:stop]
@@ -464,7 +516,8 @@ def results(packs: DataFrame, replies: DataFrame, buckets: int, cuts: np.ndarray
 
 
 def remove_repeats(
-    docs: DataFrame, full: bool = True, id_column: str = "doc_id", text_column: str = "text", pack_bytes: int = PACK, hot_packs: int = HOT
+    docs: DataFrame, full: bool = True, id_column: str = "doc_id", text_column: str = "text", pack_bytes: int = PACK,
+    hot_packs: int = HOT, bucket: int = BUCKET, max_ranges: int = MAX_RANGES,
 ) -> DataFrame:
     """Per row: `doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`; with `full` also `kept` (the remaining bytes)
     and `spans` (the removed runs).
@@ -475,14 +528,17 @@ def remove_repeats(
     """
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     packs = stored(pack_documents(rows, pack_bytes), "suffix-packs")
-    size = packs.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(shuffle_width(docs.sparkSession), -(-size // (BUCKET * 13)))
-    cuts = splitters(packs.select("sample"), buckets)
-    packs = packs.drop("sample")
-    flags = stored(shared_grams(gram_rows(packs, buckets), hot_packs), "suffix-flags")
-    masks = repeated_rows(suffix_rows(packs, flags, buckets, cuts))
+    size, width = packs.agg(F.sum("bytes")).first()[0] or 0, shuffle_width(docs.sparkSession)
+    grams = max(width, -(-size // (GRAM_BUCKET * 13)))
+    flags = stored(shared_grams(gram_rows(packs, grams), hot_packs), "suffix-flags")
+    suffixes, hot = (n or 0 for n in flags.agg(F.sum("n_shared"), F.sum("n_hot")).first())
+    buckets = max(width, -(-suffixes // bucket))
+    cuts = tuple(splitters(flags.select("leads"), min(buckets, max_ranges)))
+    # A hot gram has about 13 windows in a pack.
+    route = Route(grams, cuts, max(1, round(buckets / (len(cuts) + 1))), max(width, -(-hot * 13 // bucket)))
+    masks = repeated_rows(suffix_rows(packs, flags.drop("leads"), route))
     nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
     replies = masks.select("pack", "bucket", "kind", "masks", nothing("shared", "binary"), nothing("hot", "binary")).unionByName(
         flags.select("pack", "bucket", nothing("kind", "bigint"), nothing("masks", "binary"), "shared", "hot")
     )
-    return results(packs, stored(replies, "suffix-replies"), buckets, cuts, full)
+    return results(packs, stored(replies, "suffix-replies"), route, full)

@@ -43,11 +43,17 @@ def documents(seed):
     return docs
 
 
-@pytest.mark.parametrize("hot_packs, pack_bytes", [(512, 1 << 21), (512, 500), (2, 500)])
-def test_equals_brute_force(spark, hot_packs, pack_bytes):
+# The last two have more buckets than ranges, and one bucket for each few suffixes.
+@pytest.mark.parametrize(
+    "hot_packs, pack_bytes, bucket, max_ranges",
+    [(512, 1 << 21, S.BUCKET, S.MAX_RANGES), (2, 500, S.BUCKET, S.MAX_RANGES), (512, 500, 20, S.MAX_RANGES), (3, 700, 15, 4)],
+)
+def test_equals_brute_force(spark, monkeypatch, hot_packs, pack_bytes, bucket, max_ranges):
+    monkeypatch.setattr(S, "SAMPLED", 2)
     docs = documents(hot_packs)
     rows = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    found = S.remove_repeats(rows, full=False, hot_packs=hot_packs, pack_bytes=pack_bytes).collect()
+    settings = {"hot_packs": hot_packs, "pack_bytes": pack_bytes, "bucket": bucket, "max_ranges": max_ranges}
+    found = S.remove_repeats(rows, full=False, **settings).collect()
     assert sorted(map(tuple, found), key=str) == brute(docs)
 
 
@@ -84,6 +90,38 @@ def test_anchors_depend_on_the_window_only():
         assert list(alone + start) == [anchors[start]]
 
 
+def test_suffixes_with_equal_first_bytes_are_cut(spark):
+    rng = np.random.default_rng(3)
+    records = rng.integers(97, 123, (40_000, S.RECORD), dtype=np.uint8)
+    records[:, :8] = np.frombuffer(b" the the", np.uint8)
+    records[:4_000, 8 : S.GRAM] = ord("a")  # one gram with many suffixes, which no splitter may cut
+    sample = records[rng.permutation(len(records))[:4_000], : S.GRAM]
+    blobs = spark.createDataFrame([(bytearray(part.tobytes()),) for part in np.split(sample, 40)], "leads binary").repartition(5)
+    cuts = S.splitters(blobs, 20)
+    leads = sorted(bytes(r) for r in sample)
+    assert cuts == sorted({leads[-(-k * len(leads) // 20)] for k in range(1, 20)})
+    bucket = S.Route(1, tuple(cuts), 1, 1).suffix_bucket(records)
+    assert list(bucket) == [sum(c <= bytes(r[: S.GRAM]) for c in cuts) for r in records]
+    assert len(set(bucket[:4_000])) == 1 and np.bincount(bucket[4_000:]).max() <= 2 * len(records) / 20
+    several = S.Route(1, tuple(cuts), 3, 1).suffix_bucket(records)
+    assert (several // 3 == bucket).all() and len(set(several[:4_000])) == 1
+    assert np.bincount(several[4_000:]).max() <= 2 * len(records) / 60
+
+
+def test_pieces_do_not_change_anchors(monkeypatch):
+    texts = [(text or "").encode() for _, text in documents(5)]
+    row = {
+        "ids": np.arange(len(texts)).tobytes(), "sizes": np.array([len(t) for t in texts]).tobytes(),
+        "blob": S.zstandard.compress(b"".join(texts)),
+    }
+    whole = S.Pack(row)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(S, "PIECE", size)
+        pieces = S.Pack(row)
+        for name in ("anchors", "owner", "first", "last", "keys"):
+            assert (getattr(whole, name) == getattr(pieces, name)).all()
+
+
 def test_full_result(spark):
     passage = "A passage of more than fifty bytes that two documents have in common, as it happens."
     docs = spark.createDataFrame([(1, "one " + passage), (2, passage + " two"), (3, "other")], "doc_id bigint, text string")
