@@ -420,8 +420,8 @@ class Sent:
                 yield kind, int(b), zstandard.compress(records[chosen].tobytes(), 3), zstandard.compress(least[chosen].tobytes(), 1)
 
     def removed(self, pack: Pack, answers: list[dict]) -> np.ndarray:
-        """The windows that also start in a document with a smaller id."""
-        out = []
+        """Whether the window from each byte on also starts in a document with a smaller id."""
+        out = np.zeros(len(pack.raw), bool)
         every = (1 << OFFSETS) - 1
         for kind, (records, _, where, larger, bucket) in enumerate((self.suffixes, self.spread)):
             masks = np.zeros(len(records), np.int64)
@@ -432,13 +432,13 @@ class Sent:
                 continue
             own = np.where(larger, every, masks[where])
             if kind:
-                out.append(self.windows[own > 0])
+                out[self.windows[own > 0]] = True
                 continue
             first, last, anchor = (a[self.suffix_anchors] for a in (pack.first, pack.last, pack.anchors))
             for x in range(OFFSETS):
                 start = anchor - x
-                out.append(start[(own >> x & 1 > 0) & (start >= first) & (start <= last)])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+                out[start[(own >> x & 1 > 0) & (start >= first) & (start <= last)]] = True
+        return out
 
 
 def suffix_rows(packs: DataFrame, flags: DataFrame, route: Route) -> DataFrame:
@@ -496,8 +496,7 @@ def results(packs: DataFrame, replies: DataFrame, route: Route, full: bool) -> D
         rows = replies.to_pylist()
         answers = [r for r in rows if r["masks"] is not None]
         if answers:
-            windows = Sent(pack, [r for r in rows if r["shared"] is not None], route).removed(pack, answers)
-            gone[windows] = True
+            gone = Sent(pack, [r for r in rows if r["shared"] is not None], route).removed(pack, answers)
             covered = 1
             while covered < LENGTH:  # each step doubles the bytes behind a window's start that are marked
                 step = min(covered, LENGTH - covered)
