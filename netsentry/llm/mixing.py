@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netsentry.llm.common import SPACE, free_name, stored
+from netsentry.llm.ranks import ranked
 
 BLOCK, SHARD_TOKENS = 64, 1_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,27 +71,36 @@ def sainte_lague(rows: DataFrame, group: list[str], weight: str, seats: Column,
     With n rows and W their weight, floor(w * (seats - n / 2) / W + 1/2) seats are sure, and none gets more than
     ceil(w * (seats + n / 2) / W + 1/2). Only the quotients in between, about 2 n for the group, are ranked. Ties go by
     `order`. Rows of weight 0 get none. Quotients beyond `most` do not compete.
+
+    Sums are aggregates that meet the rows again in a join, and quotients are ranked by a range sort, so a group of any
+    number of rows is spread over all tasks. Groups themselves are few.
     """
-    over = W.partitionBy(*group)
-    per = F.col("__w") / F.col("__sum")
+
+    def with_totals(left: DataFrame, totals: DataFrame) -> DataFrame:
+        named = totals.select(*(F.col(c).alias(f"__of_{c}") for c in group), *(c for c in totals.columns if c not in group))
+        same = F.lit(True)
+        for c in group:
+            same &= F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+        return left.join(named, same).drop(*(f"__of_{c}" for c in group))
+
+    weighed = rows.withColumn("__w", F.col(weight).cast("double")).withColumn("__most", most.cast("bigint")).withColumn("__all", seats.cast("double"))
+    sums = weighed.groupBy(*group).agg(F.sum("__w").alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    per = F.col("__w") / F.when(F.col("__sum") > 0, F.col("__sum")).otherwise(1.0)
     bound = lambda seats: F.greatest(F.lit(0.0), F.floor(per * seats + 0.5))
-    near = (
-        rows.withColumn("__w", F.col(weight).cast("double"))
-        .withColumn("__most", most.cast("bigint"))
-        .withColumn("__all", seats.cast("double"))
-        .withColumn("__sum", F.sum("__w").over(over))
-        .withColumn("__n", F.count(F.lit(1)).over(over))
-        .withColumn("__sum", F.when(F.col("__sum") > 0, F.col("__sum")).otherwise(1.0))
+    near = stored(
+        with_totals(weighed, sums)
         .withColumn("__low", F.least(F.col("__most"), bound(F.col("__all") - F.col("__n") / 2).cast("bigint")))
-        .withColumn("__high", F.least(F.col("__most"), (bound(F.col("__all") + F.col("__n") / 2) + 1).cast("bigint")))
-        .withColumn("__rest", F.col("__all") - F.sum("__low").over(over))
-    )
-    wanted = near.withColumn(
-        "__seat", F.explode(F.when((F.col("__w") > 0) & (F.col("__high") > F.col("__low")), F.sequence("__low", F.col("__high") - 1)).otherwise(F.array(F.lit(-1).cast("bigint"))))
+        .withColumn("__high", F.least(F.col("__most"), (bound(F.col("__all") + F.col("__n") / 2) + 1).cast("bigint"))),
+        "mix-near",
     )
-    quotient = F.when(F.col("__seat") >= 0, F.col("__w") / (2 * F.col("__seat") + 1)).otherwise(-1.0)
-    rank = F.row_number().over(over.orderBy(quotient.desc(), *order))
-    got = wanted.withColumn("__got", ((rank <= F.col("__rest")) & (F.col("__seat") >= 0)).cast("bigint"))
+    sure = near.groupBy(*group).agg(F.sum("__low").alias("__sure"))
+    several = (F.col("__w") > 0) & (F.col("__high") > F.col("__low"))
+    none = F.array(F.lit(-1).cast("bigint"))
+    wanted = near.withColumn("__seat", F.explode(F.when(several, F.sequence("__low", F.col("__high") - 1)).otherwise(none)))
+    falling = F.when(F.col("__seat") >= 0, -F.col("__w") / (2 * F.col("__seat") + 1)).otherwise(1.0)
+    placed = with_totals(ranked(wanted.withColumn("__falling", falling), group, ["__falling", *order], "__rank", "__rows"), sure)
+    taken = (F.col("__rank") < F.col("__all") - F.col("__sure")) & (F.col("__seat") >= 0)
+    got = placed.withColumn("__got", taken.cast("bigint"))
     return got.groupBy(*rows.columns).agg((F.max("__low") + F.sum("__got")).alias("seats"))
 
 
@@ -161,7 +171,9 @@ def mix_spans(
     return sources, spans
 
 
-def mix_counts(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 42) -> DataFrame:
+def mix_counts(
+    docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 42, shard_tokens: int = SHARD_TOKENS
+) -> DataFrame:
     """Per document: `doc_id`, `size`, `source_size`, `target` (its source's), `taken` (words taken, repeats counted).
 
     Null texts have size 0, a null source is a source of its own (the last), documents without words take nothing, equal
@@ -169,7 +181,7 @@ def mix_counts(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
     """
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     sized = stored(keyed(sized), "mix-sizes")
-    sources, spans = mix_spans(sized, lambda rows: cyclic_weights(rows, weights), share, cap, seed)
+    sources, spans = mix_spans(sized, lambda rows: cyclic_weights(rows, weights), share, cap, seed, shard_tokens=shard_tokens)
     taken = spans.groupBy("row").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
     sources = sources.select(F.col("source").alias("__source"), F.col("tokens").alias("source_size"), "target")
     return (

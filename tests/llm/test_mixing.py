@@ -1,6 +1,9 @@
+import struct
 from collections import defaultdict
+from math import ceil
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from netsentry.llm.mixing import cut_text, mix_counts, mix_documents, sainte_lague, targets
@@ -66,6 +69,81 @@ def test_mix_is_near_its_targets_and_the_same_again(spark):
     assert sorted(again) == sorted(rows)
 
 
+def hashed(*values):
+    """Spark's xxhash64 of these values, whole numbers being bigint unless they are the first."""
+    seed = 42
+    for place, value in enumerate(values):
+        if value is not None:
+            raw = value.encode() if isinstance(value, str) else struct.pack("<q" if place else "<i", value)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) * (seed >> 63)
+
+
+def brute_seats(weights, seats, most):
+    """Seats one by one to the highest quotient, the first of equal ones."""
+    got = dict.fromkeys(weights, 0)
+    for _ in range(seats):
+        best = max((n for n in weights if got[n] < most[n]), key=lambda n: weights[n] / (2 * got[n] + 1))
+        got[best] += 1
+    return got
+
+
+def brute_taken(docs, shard_tokens, seed=42, block=64):
+    """doc_id: words taken, with lists and loops. `docs` are (doc_id, source, size)."""
+    names = sorted({d[1] for d in docs}, key=lambda n: (n is None, n or ""))
+    sizes = {n: sum(d[2] for d in docs if d[1] == n) for n in names}
+    goal = brute_targets(sizes, {n: float([5, 2, 1][k % 3]) for k, n in enumerate(names)}, 1.5, 2.0)
+    lines = defaultdict(list)
+    for doc, source, size in docs:
+        if size:
+            key = xxhash.xxh64_intdigest(struct.pack("<q", doc), 42)
+            key = xxhash.xxh64_intdigest(source.encode(), key) if source is not None else key
+            key = xxhash.xxh64_intdigest(struct.pack("<q", size), key)
+            key -= (1 << 64) * (key >> 63)
+            shard = hashed(seed, key) % max(1, ceil(sizes[source] / shard_tokens))
+            lines[source, shard].append((hashed(seed + 1, key), key, doc, size))
+    blocks = {at: ceil(sum(r[3] for r in line) / block) for at, line in lines.items()}
+    of = {n: sum(b for (source, _), b in blocks.items() if source == n) for n in names}
+    full = [n for n in names if goal[n] >= 2 * sizes[n]]
+    wanted = {n: goal[n] * of[n] / sizes[n] for n in names if n not in full}
+    quota = brute_seats(wanted, round(sum(wanted.values())), {n: 2 * of[n] for n in wanted}) | {n: 2 * of[n] for n in full}
+    taken = dict.fromkeys((d[0] for d in docs), 0)
+    for name in names:
+        own = {at: blocks[at] for at in sorted(a for a in lines if a[0] == name)}
+        for at, seats in brute_seats(own, quota[name], {a: 2 * b for a, b in own.items()}).items():
+            order = sorted(range(blocks[at]), key=lambda b: (hashed(seed + 2, name, at[1], b), b))
+            times = {b: seats // blocks[at] + (k < seats % blocks[at]) for k, b in enumerate(order)}
+            word = 0
+            for _, _, doc, size in sorted(lines[at]):
+                taken[doc] += sum(times[w // block] for w in range(word, word + size))
+                word += size
+    return taken
+
+
+@pytest.mark.parametrize("shard_tokens", [1_000_000, 2_000, 150])
+def test_taken_equals_brute_force(spark, shard_tokens):
+    names = ["hot", "hot", "hot", "b", "c", None, "d", "é"]
+    docs = [(k, names[k % 8] if k % 11 else "hot", 0 if k % 37 == 0 else 3 + k * k % 190) for k in range(500)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, source string, n int").selectExpr("doc_id", "source", "repeat('w ', n) AS text")
+    found = {r.doc_id: r.taken for r in mix_counts(rows.repartition(4), shard_tokens=shard_tokens).collect()}
+    assert found == brute_taken(docs, shard_tokens)
+
+
+def test_seats_of_a_large_group(spark):
+    """A group of very many rows next to small ones and one without name; no window of the plan holds a group."""
+    sizes = [("hot", k, 1 + k * 7919 % 50) for k in range(3000)] + [("b", 0, 9), (None, 0, 4), (None, 1, 4)]
+    rows = spark.createDataFrame(sizes, "source string, shard bigint, blocks bigint")
+    seats = F.when(F.col("source") == "hot", 100_001).when(F.col("source") == "b", 10).otherwise(5)
+    found = sainte_lague(rows, ["source"], "blocks", seats, F.col("blocks") * 2, ["shard"])
+    assert "row_number" not in found._jdf.queryExecution().toString()
+    got = {(r.source, r.shard): r.seats for r in found.collect()}
+    assert got["b", 0] == 10 and (got[None, 0], got[None, 1]) == (3, 2)
+    hot = [(b, got["hot", k]) for n, k, b in sizes if n == "hot"]
+    assert sum(s for _, s in hot) == 100_001
+    # The last quotients that won are not below the first that lost.
+    assert min(b / (2 * s - 1) for b, s in hot if s) >= max(b / (2 * s + 1) for b, s in hot)
+
+
 def test_cut_text():
     text = " a b  c\td e "
     assert cut_text(text, [(0, 5, 1)], 1) == text
