@@ -138,9 +138,10 @@ def mix_spans(
     at_cap = F.col("target") >= cap * F.col("tokens")
     most = F.round(cap * F.col("blocks"))
     seats = seats.withColumn("at_cap", at_cap).withColumn("quota", F.when(at_cap, most))
+    # Stored, as joins on a column known to be constant would become nested loops.
+    below = stored(seats.filter("not at_cap").withColumn("one", F.lit(1)), "mix-seats")
     free = sainte_lague(
-        seats.filter("not at_cap").withColumn("one", F.lit(1)),
-        ["one"], "wanted", F.round(F.sum("wanted").over(W.partitionBy("one"))), most, ["source"],
+        below, ["one"], "wanted", F.round(F.sum("wanted").over(W.partitionBy("one"))), most, ["source"],
     ).select("source", F.col("seats").alias("quota"))
     quotas = stored(free.unionByName(seats.filter("at_cap").select("source", F.col("quota").cast("bigint"))), "mix-quotas")
 
