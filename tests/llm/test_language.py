@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -36,6 +37,46 @@ def test_gradient_equals_differences():
         assert (losses[0] - losses[1]) / 0.02 == pytest.approx(grads[number][cell], abs=2e-4)
 
 
+def plain_states(layer, raw):
+    """States after each byte, number by number."""
+    table, recurrent, bias = (p.tolist() for p in layer)
+    size, out = L.HIDDEN, []
+    state = [0.0] * size
+    squash = lambda x: 1 / (1 + math.exp(-x))
+    for byte in raw:
+        held = [sum(w * s for w, s in zip(row, state)) + b[0] for row, b in zip(recurrent, bias)]
+        given = [row[byte] for row in table]
+        new = []
+        for k in range(size):
+            update, reset = squash(given[k] + held[k]), squash(given[size + k] + held[size + k])
+            candidate = math.tanh(given[2 * size + k] + reset * held[2 * size + k])
+            new.append(update * state[k] + (1 - update) * candidate)
+        state = new
+        out.append(state)
+    return out
+
+
+def plain_probabilities(model, raw):
+    """Mean over all bytes of the label probabilities, segment by segment."""
+    total = [0.0] * len(model.labels)
+    for at in range(0, len(raw), L.SEGMENT):
+        segment = raw[at : at + L.SEGMENT]
+        behind = plain_states(model.backward, segment[::-1])[::-1]
+        for front, back in zip(plain_states(model.forward, segment), behind):
+            logits = [sum(w * s for w, s in zip(row, front + back)) + b[0] for row, b in zip(model.out.tolist(), model.bias.tolist())]
+            powers = [math.exp(x) for x in logits]
+            total = [t + p / sum(powers) for t, p in zip(total, powers)]
+    return [t / max(1, len(raw)) for t in total]
+
+
+def test_prediction_equals_a_plain_forward_pass(model):
+    texts = ["der und", "", "le dans où être " * 20, "x", "a" * L.SEGMENT, "thing \x00 ing " * 15]
+    for one in (model, L.new_model(["a", "b", "c"], seed=5)):
+        found = L.predict(one, [t.encode() for t in texts])
+        for k, text in enumerate(texts):
+            assert list(found[:, k]) == pytest.approx(plain_probabilities(one, text.encode()), abs=1e-4)
+
+
 def test_held_out_accuracy(model):
     rng = random.Random(2)
     for lang in WORDS:
