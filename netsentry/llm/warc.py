@@ -7,14 +7,17 @@ and offset, the same on a rerun), a date from the 14 digits, a type, and digests
 payload of an earlier record becomes a revisit that names it and has no payload.
 
 Archives are read whole, one per row, so their writer keeps them to about ARCHIVE bytes. What decides between response
-and revisit (digest, length, key, archive, offset; no payloads) is shuffled by digest; the decisions go back to each
-archive, which is then written as WARC. Files are written by the text sink, whose line separator ends each record.
+and revisit (header, digest, length, key, archive, place; no payloads) is shuffled by digest. A revisit has no payload, so
+it is written from that alone. Only one bit per record goes back to the archives, which record is left out; a share of the
+archives at a time is read again beside its bits, which are few enough to be broadcast, and gives the other records. So
+no payload is shuffled. Files are written by the text sink, whose line separator ends each record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +39,8 @@ FIELDS = {
 KEY = "X-Record-Key"  # header that carries the key of a record through the formats
 ARCHIVE = 32 << 20  # bytes of content of an archive that is written, about
 RECORDS = 2_000  # records of a WARC file that is written
+BITMAP = 32_768  # bits of a bitmap of the aggregate function
+BITS = 32 << 20  # bytes of bitmaps that are broadcast at a time, about
 LAST_KEY = (1 << 63) - 1  # records without key come after all others
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -122,10 +127,12 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r"
 
 
-def to_warc(record: Record, archive: str, refers: dict | None) -> bytes:
-    """The WARC form of an ARC record; `refers` has archive, offset and key of the response that a revisit names."""
+def to_warc(record: Record, archive: str, refers: dict | None, payload: tuple[str, int] | None = None) -> bytes:
+    """The WARC form of an ARC record; `refers` has archive, offset and key of the response that a revisit names. `payload`
+    is the digest and length of the payload, where the record does not carry it."""
     fields = record.fields
     is_http = bool(record.header)
+    digest, size = payload or (sha1(record.payload), len(record.payload))
     kind = "revisit" if refers else "response" if is_http else "resource"
     out = [
         ("WARC-Type", kind),
@@ -133,8 +140,8 @@ def to_warc(record: Record, archive: str, refers: dict | None) -> bytes:
         ("WARC-Date", iso_date(fields["Archive-date"])),
         ("WARC-Target-URI", fields["URL"]),
         ("Content-Type", "application/http; msgtype=response" if is_http else fields["Content-type"]),
-        ("WARC-Payload-Digest", f"sha1:{sha1(record.payload)}"),
-        ("X-Payload-Length", str(len(record.payload))),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("X-Payload-Length", str(size)),
     ]
     if fields["IP-address"] not in ("-", "0.0.0.0"):
         out.append(("WARC-IP-Address", fields["IP-address"]))
@@ -201,54 +208,112 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
     archives.select(F.col("line").cast("string").alias("value")).write.option("compression", "gzip").text(path)
 
 
-def archives_of(spark: SparkSession, path: str) -> DataFrame:
-    """(`archive`, `content`) of the files at the path."""
+def archives_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(`archive`, `content`) of the files at the path or paths."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
-    """Rewrites the ARC files at one path as WARC files at another.
+def records_of(archives: DataFrame) -> DataFrame:
+    """What is known of each record without its payload, from (`archive`, `content`); `number` is its place in the archive."""
+    kinds = {
+        "archive": pa.string(), "number": pa.int64(), "offset": pa.int64(), "key": pa.int64(), "digest": pa.string(),
+        "bytes": pa.int64(), "version": pa.int32(), "url": pa.string(), "ip": pa.string(), "date": pa.string(),
+        "type": pa.string(), "header": pa.binary(),
+    }
 
-    Of records with equal payloads of at least `least_bytes` bytes that with the smallest key (then archive, then offset)
-    is a response and the others revisit it; records without key come last. Smaller ones are all responses.
-    """
-    schema = "archive string, offset bigint, key bigint, digest string, bytes bigint"
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = [(row["archive"], r.offset, r.key, sha1(r.payload), len(r.payload)) for r in parse_arc(row["content"])]
-                if found:
-                    arrays = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["archive", "offset", "key", "digest", "bytes"])
+                rows = [
+                    (row["archive"], number, r.offset, r.key, sha1(r.payload), len(r.payload), r.version,
+                     *(r.fields[name] for name in FIELDS[1][:4]), r.header)
+                    for number, r in enumerate(parse_arc(row["content"]))
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
+
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
+    return archives.mapInArrow(found, ", ".join(f"{name} {names[kind]}" for name, kind in kinds.items()))
+
+
+def _in_pieces(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Records as batches of some 4 MB."""
+    out, held = [], 0
+    for record in records:
+        out.append(record)
+        held += len(record)
+        if held > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["line"])
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["line"])
+
+
+def _revisit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _in_pieces(
+            to_warc(
+                Record(r["offset"], r["version"], dict(zip(FIELDS[1], (r["url"], r["ip"], r["date"], r["type"]))), r["header"], b""),
+                r["archive"], r["first"], (r["digest"], r["bytes"]),
+            )
+            for r in batch.to_pylist()
+        )
+
+
+def _other_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records whose bit is not set, with their payloads."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            bits = {b["bucket"]: b["bits"] for b in row["bitmaps"] or ()}
+
+            def is_revisit(number: int) -> bool:
+                at = number % BITMAP
+                return number // BITMAP in bits and bool(bits[number // BITMAP][at // 8] >> at % 8 & 1)
+
+            records = enumerate(parse_arc(row["content"]))
+            yield from _in_pieces(to_warc(r, row["archive"], None) for number, r in records if not is_revisit(number))
 
-    records = stored(archives_of(spark, arc_path).mapInArrow(digests, schema), "arc-digests")
+
+def _append_lines(lines: DataFrame, path: str) -> None:
+    value = lines.select(F.col("line").cast("string").alias("value"))
+    value.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, bits: int = BITS) -> None:
+    """Rewrites the ARC files at one path as WARC files at another, which must not exist.
+
+    Of records with equal payloads of at least `least_bytes` bytes that with the smallest key (then archive, then offset)
+    is a response and the others revisit it; records without key come last. Smaller ones are all responses. An archive
+    without records, and a path without archives, give none. A record without URL or with clashing HTTP headers is taken
+    as it is; a file that is no ARC file raises ValueError. Archives are read in as many shares as keep the bitmaps of a
+    share to about `bits` bytes; the result is the same for any number.
+    """
+    records = stored(records_of(archives_of(spark, arc_path)), "arc-records")
     place = F.struct(F.coalesce("key", F.lit(LAST_KEY)).alias("place"), "archive", "offset", "key")
     first = records.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    revisits = (
-        records.join(first.filter("n > 1").drop("n"), ["digest", "bytes"])
-        .filter((F.col("archive") != F.col("first.archive")) | (F.col("offset") != F.col("first.offset")))
-        .groupBy("archive")  # an archive is bounded, and so are its decisions
-        .agg(F.collect_list(F.struct("offset", F.col("first.archive").alias("archive"), F.col("first.offset").alias("at"), F.col("first.key").alias("key"))).alias("revisits"))
+    revisits = records.join(first.filter("n > 1").drop("n"), ["digest", "bytes"]).filter(
+        (F.col("archive") != F.col("first.archive")) | (F.col("offset") != F.col("first.offset"))
     )
-
-    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                refers = {r["offset"]: {"archive": r["archive"], "offset": r["at"], "key": r["key"]} for r in row["revisits"] or ()}
-                out, held = [], 0
-                for record in parse_arc(row["content"]):
-                    out.append(to_warc(record, row["archive"], refers.get(record.offset)))
-                    held += len(out[-1])
-                    if held > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["line"])
-                        out, held = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["line"])
-
-    both = archives_of(spark, arc_path).join(revisits, "archive", "left").select("content", "archive", "revisits")
-    lines = both.mapInArrow(rewritten, "line binary").select(F.col("line").cast("string").alias("value"))
-    lines.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(warc_path)
+    revisits = stored(revisits, "arc-revisits")
+    _append_lines(revisits.mapInArrow(_revisit_lines, "line binary"), warc_path)
+
+    bucket, bit = F.floor(F.col("number") / BITMAP).alias("bucket"), F.col("number") % BITMAP
+    share = lambda shares: F.pmod(F.xxhash64("archive"), F.lit(shares))
+    archives = stored(records.groupBy("archive").agg((F.floor(F.max("number") / BITMAP) + 1).alias("bitmaps")), "arc-names")
+    size = (archives.agg(F.sum("bitmaps")).first()[0] or 0) * (BITMAP // 8)
+    shares = max(1, -(-size // bits))
+    bitmaps = (
+        revisits.groupBy("archive", bucket).agg(F.bitmap_construct_agg(bit).alias("bits"))
+        .groupBy("archive").agg(F.collect_list(F.struct("bucket", "bits")).alias("bitmaps"))  # of one archive, which is bounded
+    )
+    bitmaps = stored(bitmaps, "arc-bitmaps")
+    for number in range(shares):
+        names = [row[0] for row in archives.filter(share(shares) == number).select("archive").collect()]
+        if names:
+            # Names of files, not patterns.
+            content = archives_of(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", name) for name in names])
+            both = content.join(F.broadcast(bitmaps.filter(share(shares) == number)), "archive", "left")
+            _append_lines(both.select("content", "archive", "bitmaps").mapInArrow(_other_lines, "line binary"), warc_path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

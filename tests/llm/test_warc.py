@@ -84,6 +84,33 @@ def test_pages(spark, least):
     assert sorted(map(tuple, rows), key=key) == sorted(want, key=key)
 
 
+def test_many_shares_give_what_one_gives(spark, tmp_path, monkeypatch):
+    """Bitmaps of several buckets and shares of few archives; names of files that look like patterns."""
+    html = [(k, "u", f"<p>{k % 40}</p>") for k in range(400)]
+    pages = spark.createDataFrame(html, "page_id bigint, url string, html string")
+    A.write_arc(pages.filter("page_id < 200"), str(tmp_path / "in" / "a[1]{b}"))
+    A.write_arc(pages.filter("page_id >= 200"), str(tmp_path / "in" / "c*?"))
+    files = [f"{tmp_path}/in/a\\[1\\]\\{{b\\}}/*.gz", f"{tmp_path}/in/c\\*\\?/*.gz"]
+    found = []
+    for bits in (1 << 25, 8192):
+        A.convert(spark, files, str(tmp_path / f"out{bits}"), 0, bits)
+        found.append(sorted(map(tuple, A.read_warc(spark, str(tmp_path / f"out{bits}")).collect())))
+    assert found[0] == found[1] and len(found[0]) == 400
+    assert sum(row[1] == "response" for row in found[0]) == 40
+    assert all(row[8] == row[4] % 40 for row in found[0] if row[1] == "revisit")
+
+
+def test_records_beyond_one_bitmap(spark, tmp_path):
+    many = [(f"http://a/{k}", "20240506070809", b"x" if k % 2 else b"%d" % k) for k in range(A.BITMAP + 10)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.arc").write_bytes(arc(1, many))
+    A.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    rows = A.read_warc(spark, str(tmp_path / "out")).select("record_type", "url").collect()
+    assert len(rows) == A.BITMAP + 10
+    # Without keys the first by offset is the one to keep.
+    assert {r.url for r in rows if r.record_type == "resource"} == {"http://a/1"} | {f"http://a/{k}" for k in range(0, A.BITMAP + 10, 2)}
+
+
 def test_no_pages(spark):
     assert A.pages_through_archives(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
