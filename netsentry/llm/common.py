@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
-_intermediate: list[str] = []
-_tracking = False
+#: Paths of the tables that the open stage has stored, None outside of a stage, and those that the stage before left. Both
+#: belong to the thread: pipelines in two threads of one driver do not see each other's tables.
+_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
+_left: ContextVar[tuple[str, ...]] = ContextVar("left", default=())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,29 +33,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    if _tracking:
-        _intermediate.append(path)
+    if (tables := _open.get()) is not None:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def stage_tables(spark: SparkSession) -> Iterator[None]:
-    """A block whose `stored` tables are deleted when the next such block begins: for stages whose result is written
-    before the next stage. Tables stored outside of such blocks stay.
+    """A block whose `stored` tables are deleted when the next such block of this thread begins: for stages whose result is
+    written before the next stage. Tables stored outside of such blocks stay.
 
     From then on the session's Arrow batches have BATCH_ROWS rows at most: the default of 10,000 whole texts, held by the
-    JVM and by each of its Python workers, is more than a small executor has.
+    JVM and by each of its Python workers, is more than a small executor has. A frame is planned when it is written, after
+    the block, so the setting outlives it; `settings_kept` around stage and writing puts it back.
     """
-    global _tracking
     if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
-    while _intermediate:
-        delete_folder(spark, _intermediate.pop())
-    _tracking = True
+    for path in _left.get():
+        delete_folder(spark, path)
+    tables: list[str] = []
+    token = _open.set(tables)
     try:
         yield
     finally:
-        _tracking = False
+        _open.reset(token)
+        _left.set(tuple(tables))
+
+
+@contextmanager
+def settings_kept(spark: SparkSession) -> Iterator[None]:
+    """A block after which the session's Arrow batch size is what it was before."""
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,7 +5,8 @@ that text. Each task keeps an index of the digests that are live in its rows: a
 is found through the filter, verified against the stored digest, and the entry with the smaller id is deleted and
 replaced by the one with the larger. What the tasks' indexes hold at the end (a digest at most once per task, however
 many copies there are) is shuffled by digest, and one more round of the same index per shard merges it. So a digest
-that a third of all rows share sends one row per task through the shuffle.
+that a third of all rows share sends one row per task through the shuffle. The number of shards follows from the number of
+rows, so that a shard has about SHARD digests at any size.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsentry.llm.common import free_name, stored
+from netsentry.llm.common import free_name, shuffle_width, stored
 
 SLOTS = 4  # slots of a bucket
+SHARD = 200_000  # digests of a shard, about: an entry takes some 350 bytes
 MAX_MOVES = 200  # evictions before the index is resized
 ENTRIES = "digest binary, keep_id bigint, keep_row bigint, n bigint"
 
@@ -140,11 +142,12 @@ def text_digest(text: pa.Array) -> pa.Array:
     return pa.array(found, pa.binary())
 
 
-def live_digests(digests: DataFrame) -> DataFrame:
-    """One row per digest (`digest`, `keep_id`, `keep_row`, `n`) from rows (`digest`, id, row)."""
+def live_digests(digests: DataFrame, shard: int = SHARD) -> DataFrame:
+    """One row per digest (`digest`, `keep_id`, `keep_row`, `n`) from stored rows (`digest`, id, row), read twice."""
+    shards = max(shuffle_width(digests.sparkSession), -(-digests.count() // shard))
     rows = digests.select("digest", *digests.columns[1:3], F.lit(1).cast("bigint"))
     local = rows.mapInArrow(_live, ENTRIES)
-    return local.repartition("digest").mapInArrow(_live, ENTRIES)
+    return local.repartition(shards, "digest").mapInArrow(_live, ENTRIES)
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = True) -> DataFrame:

@@ -69,3 +69,14 @@ def test_query_equals_sql(spark):
 
     folder = "/root/testdata/sf0.001"
     assert difference(spark, database(folder), op5_exact_dedup, SQL["op5_exact_dedup"], folder) is None
+
+
+def test_shards_follow_from_the_rows(spark):
+    from netsentry.llm.common import stored
+    from netsentry.llm.exact_dedup import live_digests
+
+    ids = spark.range(1000).selectExpr("cast(cast(id % 300 as string) as binary) as digest", "id", "id as row")
+    found = live_digests(stored(ids, "digests"), shard=10)
+    assert found.rdd.getNumPartitions() == 100
+    rows = {bytes(r.digest): (r.keep_id, r.keep_row, r.n) for r in found.collect()}
+    assert rows == {str(k).encode(): (900 + k if k < 100 else 600 + k, 900 + k if k < 100 else 600 + k, 4 if k < 100 else 3) for k in range(300)}

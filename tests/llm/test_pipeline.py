@@ -78,3 +78,42 @@ def test_hostile_rows(pipeline, spark, hostile, nothing):
 def test_run_is_the_last_stage(pipeline, spark):
     rows = pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "n_tokens", "ids"} <= set(rows.columns) and rows.count() > 100
+
+
+def test_run_leaves_settings_and_the_last_table_only(pipeline, spark):
+    from netsentry.llm.common import BATCH_SETTING
+
+    base, before = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, "7000")
+    made = []
+    real = pipeline.work_dir
+    pipeline.work_dir = lambda session, name: made.append(real(session, name)) or made[-1]
+    try:
+        pipeline.run(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(BATCH_SETTING) == "7000"
+    finally:
+        pipeline.work_dir = real
+        spark.conf.set(BATCH_SETTING, before)
+    assert [os.path.exists(path) for path in made] == [False] * 4 + [True]
+    assert spark.conf.get("spark.checkpoint.dir", None) == base
+
+
+def test_stages_of_two_threads_do_not_meet(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from netsentry.llm.common import stage_tables, stored
+
+    def stage(pool, n):
+        def work():
+            with stage_tables(spark):
+                return stored(spark.range(n), "two-threads")
+        return pool.submit(work).result()
+
+    with ThreadPoolExecutor(1) as one, ThreadPoolExecutor(1) as two:
+        first = stage(one, 3)
+        second = stage(two, 4)
+        assert first.count() == 3  # the other pipeline's stage has not deleted it
+        path = first.inputFiles()[0]
+        third = stage(one, 5)
+        assert not os.path.exists(path.removeprefix("file://"))
+        assert (second.count(), third.count()) == (4, 5)
