@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-NARROWING = ("hour", "minute", "second")
+#: Units of time by which the newest rows are narrowed. Fewer than `n` rows lie after the hour found, so the seconds to count
+#: are at most `n` and the 3,600 of that hour.
+NARROWING = ("hour", "second")
 
 
 def _cutoff(df: DataFrame, time: str, unit: str, n: int) -> DataFrame:
@@ -25,8 +27,8 @@ def newest(
 ) -> DataFrame:
     """The `n` rows that are last by `times` and `last`, ties in the order of `tie`; for an `n` too large to keep per task.
 
-    Where the first of `times` is a timestamp, it is narrowed first: rows are counted by hour, from the hour found by
-    minute, from that minute by second, and only rows from that second on reach the sort, by a plain comparison that the
+    Where the first of `times` is a timestamp, it is narrowed first: rows are counted by hour, from the hour found on by
+    second, and only rows from that second on reach the sort, by a plain comparison that the
     files' reader gets. The rows left are cut in three steps like those of a key in `top_per_key`, so that one second may
     hold most of the rows. `df` is read once for each step: give a stored table.
     """
