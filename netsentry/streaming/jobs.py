@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from netsentry.operators import detect
@@ -23,6 +24,7 @@ ALERT_TRIGGER = {"processingTime": "1 second"}
 BLOCKED_WATERMARK = "2 minutes"
 VOLUME_WATERMARK = "30 seconds"
 LIVE_FILE_RETENTION = f"{2 * LIVE_RETENTION_HOURS}h"
+COMPACT_BYTES = 128 << 20  # alerts of a compacted file, about, before encoding and compression
 
 DETECTORS = ("signature", "repeated_blocked", "volume")
 
@@ -224,14 +226,25 @@ def read_live(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def compact_live(spark: SparkSession, path: str, target: str, day: str | None = None, files: int = 1) -> None:
-    """Writes the committed alerts of a finished day, or of all, as few files clustered by source, so that a read of one
-    address skips most row groups. A day's part of `target` is replaced, so a repeated run leaves the same table."""
+def compact_live(spark: SparkSession, path: str, target: str, day: str | None = None, files: int | None = None) -> None:
+    """Writes the committed alerts of a finished day, or of all, as few files clustered by day and source, so that a read of
+    one address skips most files and row groups. A day's part of `target` is replaced, so a repeated run leaves the same table.
+
+    `files` is the number of tasks, each of which writes a file for every day it meets. By default it follows the size, a
+    task for each COMPACT_BYTES. Rows of one source and instant, however many, are divided by their place in the live table.
+    """
     rows = read_live(spark, path)
     rows = rows if day is None else rows.filter(F.col("alert_date") == F.lit(day).cast("date"))
+    if files is None:
+        texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in LIVE_TABLE_SCHEMA if isinstance(f.dataType, T.StringType)]
+        size = rows.agg(F.sum(sum(texts, F.lit(8 * len(LIVE_TABLE_SCHEMA)).cast("long")))).first()[0]
+        files = 1 + (size or 0) // COMPACT_BYTES
+    order = ("alert_date", "source_ip", "inserted_at")
     (
-        rows.repartitionByRange(files, "source_ip", "inserted_at")
-        .sortWithinPartitions("source_ip", "inserted_at")
+        rows.withColumn("place", F.monotonically_increasing_id())
+        .repartitionByRange(files, *order, "place")
+        .sortWithinPartitions(*order)
+        .drop("place")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("alert_date")

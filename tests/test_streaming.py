@@ -181,3 +181,24 @@ def test_compaction_is_repeatable(spark, tmp_path):
         jobs.compact_live(spark, live, compact)
         assert rows_of(jobs.read_compacted(spark, compact)) == rows_of(jobs.read_live(spark, live))
     assert len(list((tmp_path / "compact").rglob("*.parquet"))) == 1
+
+
+def test_compacted_files_follow_the_size_also_within_one_source_and_instant(spark, tmp_path, monkeypatch):
+    source, live, state, compact = (str(tmp_path / n) for n in ("source", "live", "state", "compact"))
+    publish(spark, traffic(), source)
+    finish(jobs.start_alerts(open_stream(spark, source), live, state, ONCE, blocked_clock="event_time"))
+    rows = jobs.read_live(spark, live)
+    hot = rows.filter("source_ip = 'b'").groupBy("inserted_at").count().agg(F.max("count")).first()[0]
+    monkeypatch.setattr(jobs, "COMPACT_BYTES", 5_000, raising=False)
+    jobs.compact_live(spark, live, compact)
+    assert rows_of(jobs.read_compacted(spark, compact)) == rows_of(rows)
+    sizes = [r["count"] for r in jobs.read_compacted(spark, compact).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 5 and max(sizes) <= 2 * sum(sizes) / len(sizes) < hot
+
+
+def test_compaction_of_no_alerts(spark, tmp_path):
+    source, live, state, compact = (str(tmp_path / n) for n in ("source", "live", "state", "compact"))
+    publish(spark, traffic()[:1], source)
+    finish(jobs.start_alerts(open_stream(spark, source), live, state, ONCE, blocked_clock="event_time"))
+    jobs.compact_live(spark, live, compact)
+    assert jobs.read_compacted(spark, compact).count() == jobs.read_live(spark, live).count() == 0
