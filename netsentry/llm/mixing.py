@@ -242,7 +242,9 @@ def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights
             parts.append(pa.array(out, kind))
         return pa.concat_arrays(parts)
 
-    parts = F.arrow_udf(cut, "array<string>")(F.col("text").cast("string"), F.col(taken))
+    # Marked so that the filter that Spark derives from the explosion does not cut a second time, in a second worker of the task.
+    cut_once = F.arrow_udf(cut, "array<string>").asNondeterministic()
+    parts = cut_once(F.col("text").cast("string"), F.col(taken))
     mixed = keyed_docs.join(spans.withColumnRenamed("row", of_row), F.col(row) == F.col(of_row))
     mixed = mixed.withColumn(texts, parts).withColumn(one, F.explode(texts)).withColumn("text", F.col(one))
     if "n_chars" in docs.columns:

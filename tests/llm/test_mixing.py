@@ -162,3 +162,8 @@ def test_hostile_rows(hostile, nothing):
     assert sum(words(r) for r in mixed.collect()) == sum(r.taken for r in rows)
     assert all(r.n_chars == len(r.text) for r in mixed.collect())
     assert mix_counts(nothing).count() == 0 and mix_documents(nothing).count() == 0
+
+
+def test_texts_are_cut_once(hostile):
+    """The filter that comes with an explosion must not cut them before, in a Python worker more for each task."""
+    assert mix_documents(hostile)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
